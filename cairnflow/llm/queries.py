@@ -12,6 +12,7 @@ from cairnflow.llm.bpe import bpe_encode
 from cairnflow.llm.chunk_dedup import exact_classes
 from cairnflow.llm.line_dedup import deduped_lines
 from cairnflow.llm.mixing import mix
+from cairnflow.llm.near_dups import jaccard_join
 from cairnflow.llm.quality import quality_rules
 from cairnflow.llm.token_counts import token_counts
 from cairnflow.llm.warc import read_archive, write_archive
@@ -38,6 +39,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_classes(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents")).drop("digest")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, decode=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_mixing": op3_mixing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_warc": op7_warc,
     "op8_quality": op8_quality,
