@@ -24,8 +24,8 @@ TREES, DEPTH = 24, 8
 #: Texts of a block; a group of connected texts larger than this is compared block by block.
 BLOCK = 1000
 _RNG = np.random.Generator(np.random.PCG64(11))
-_MUL = _RNG.integers(1, 1 << 63, (TREES * DEPTH, 1), np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 1 << 63, (TREES * DEPTH, 1), np.uint64)
+_MUL = _RNG.integers(1 << 20, 1 << 31, (TREES * DEPTH, 1), np.uint32) * np.uint32(2) + np.uint32(1)
+_ADD = _RNG.integers(0, 1 << 32, (TREES * DEPTH, 1), np.uint32)
 _STEP = _RNG.integers(1, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -44,22 +44,25 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def shingles(text: str) -> np.ndarray:
     """The sorted distinct hashes of runs of WORDS words; a text of fewer words, but one at least, is one shingle."""
     words = text.encode().split()  # at spaces and U+0009 to U+000D
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    h = _mixed(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
     n = max(1, len(h) - WORDS + 1) if len(h) else 0
     x = np.full(n, np.uint64(min(len(h), WORDS)))
     for k in range(min(WORDS, len(h))):
-        x += _mixed(h[k : k + n]) * _STEP[k]
-    return np.unique(_mixed(x))
+        x += h[k : k + n] * _STEP[k]
+    x = np.sort(_mixed(x))
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
 def tree_keys(own: np.ndarray, trees: int, depth: int) -> np.ndarray:
     """The key of a shingle set's node at `depth` in each tree."""
     k = trees * depth
-    low = np.full(k, np.uint64(0xFFFFFFFFFFFFFFFF))
+    short, low = (own >> np.uint64(32)).astype(np.uint32), np.full(k, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(own), 2048):
-        low = np.minimum(low, (own[at : at + 2048] * _MUL[:k] + _ADD[:k]).min(1))
+        hashed = short[at : at + 2048] * _MUL[:k]
+        hashed += _ADD[:k]
+        low = np.minimum(low, hashed.min(1))
     key = np.arange(trees, dtype=np.uint64)
-    for level in (low >> np.uint64(32)).reshape(trees, depth).T:
+    for level in low.astype(np.uint64).reshape(trees, depth).T:
         key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + level)
     return key.view(np.int64)
 
