@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cairnflow.llm.bpe import bpe_encode
 from cairnflow.llm.chunk_dedup import exact_classes
+from cairnflow.llm.html_extract import extract_text
 from cairnflow.llm.line_dedup import deduped_lines
 from cairnflow.llm.mixing import mix
 from cairnflow.llm.near_dups import jaccard_join
@@ -56,6 +57,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_warc": op7_warc,
     "op8_quality": op8_quality,
+    "op9_html_text": op9_html_text,
     "op10_token_counts": op10_token_counts,
 }
 
