@@ -12,6 +12,7 @@ from cairnflow.llm.bpe import bpe_encode
 from cairnflow.llm.chunk_dedup import exact_classes
 from cairnflow.llm.html_extract import extract_text
 from cairnflow.llm.line_dedup import deduped_lines
+from cairnflow.llm.maxent_lm import lm_scores
 from cairnflow.llm.mixing import mix
 from cairnflow.llm.near_dups import jaccard_join
 from cairnflow.llm.quality import quality_rules
@@ -27,6 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = deduped_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -67,6 +72,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_maxent_lm": op1_maxent_lm,
     "op2_line_dedup": op2_line_dedup,
     "op3_mixing": op3_mixing,
     "op4_exact_dedup": op4_exact_dedup,
