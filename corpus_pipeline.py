@@ -4,15 +4,65 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from cairnflow.llm.bpe import bpe_encode
+from cairnflow.llm.common import broadcast_if_small, saved
+from cairnflow.llm.line_dedup import deduped_lines
+from cairnflow.llm.mixing import mixed_rows
+from cairnflow.llm.near_dups import near_unique
+from cairnflow.llm.quality import quality_rules
+
+RANKS = "byte_bpe_50k.tiktoken"
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    judged = quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    gone = saved(judged.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct(), "pipeline-gone")
+    return docs.join(broadcast_if_small(gone), docs["doc_id"].eqNullSafe(F.col("gone_id")), "left_anti")
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that a document of smaller id holds too go; a document stays, even if no line does."""
+    rows, _ = deduped_lines(docs)
+    return rows.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document of the smallest id stays."""
+    return near_unique(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are left out or repeated so that each source has its share of words."""
+    return mixed_rows(docs)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row's token ids, and digests of these and of the text they decode to."""
+    coded = bpe_encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, decode=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality_stage),
+    ("line dedup", line_stage),
+    ("near duplicates", near_duplicate_stage),
+    ("mixing", mixing_stage),
+    ("bpe encoding", encoding_stage),
+]
+#: SQL expresses neither the similarity join nor the tokenizer.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to the documents of `sf_dir`."""
+    """Applies the stages to the documents of `sf_dir`; each stage's rows are written and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = saved(docs, "stage-" + name.replace(" ", "-"))
     return docs
