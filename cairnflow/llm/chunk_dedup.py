@@ -54,12 +54,12 @@ def chunk_key(chunk: bytes, size: int = KEY_BYTES) -> bytes:
     return hashlib.blake2b(chunk, digest_size=size).digest()
 
 
-def _mapper(each: Callable[[int, bytes], Iterator[tuple]]) -> Callable:
-    """A step for arrow_map over (row, text) that gives each(row, UTF-8 text)'s rows as columns c0, c1, ..."""
+def _mapper(each: Callable[[int, bytes], Iterator[tuple]], width: int) -> Callable:
+    """A step for arrow_map over (row, text) that gives each(row, UTF-8 text)'s rows, of `width` values, as c0, c1, ..."""
 
     def step(batch: pa.RecordBatch) -> dict[str, list]:
         rows = [x for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in each(row, text.encode())]
-        return {f"c{i}": list(c) for i, c in enumerate(zip(*rows, strict=True))} if rows else {}
+        return {f"c{i}": [x[i] for x in rows] for i in range(width)}
 
     return lambda: step
 
@@ -97,7 +97,7 @@ def chunk_store(rows: DataFrame, key_bytes: int) -> DataFrame:
 
     Each task sends a chunk once, however often it has it (partial aggregation), so copies are not moved again.
     """
-    parts = arrow_map(rows, _mapper(lambda _, data: ((chunk_key(c, key_bytes), c) for c in set(chunks(data)))), "c0 binary, c1 binary")
+    parts = arrow_map(rows, _mapper(lambda _, data: ((chunk_key(c, key_bytes), c) for c in set(chunks(data))), 2), "c0 binary, c1 binary")
     return parts.toDF("key", "part").distinct()
 
 
@@ -106,7 +106,7 @@ def _told_apart(rows: DataFrame, listed: DataFrame, store: DataFrame, doubtful:
     keys = broadcast_if_small(doubtful)
     of_key = store.join(keys, "key", "left_semi").groupBy("key").agg(F.sort_array(F.collect_set("part")).alias("parts"))
     clashes = saved(of_key.select("key", F.posexplode("parts").alias("ordinal", "part")), "chunk-clashes")
-    places = arrow_map(rows.select("row", "text"), _mapper(lambda row, data: ((row, i, chunk_key(c, key_bytes), c) for i, c in enumerate(chunks(data)))), "c0 bigint, c1 int, c2 binary, c3 binary").toDF("row", "at", "key", "part")
+    places = arrow_map(rows.select("row", "text"), _mapper(lambda row, data: ((row, i, chunk_key(c, key_bytes), c) for i, c in enumerate(chunks(data))), 4), "c0 bigint, c1 int, c2 binary, c3 binary").toDF("row", "at", "key", "part")
     found = places.join(keys, "key", "left_semi").join(clashes, ["key", "part"]).select("row", F.struct("at", "ordinal").alias("x"))
     marks = found.groupBy("row").agg(F.sort_array(F.collect_list("x")).alias("marks"))
     told = listed.join(marks, "row", "left")
