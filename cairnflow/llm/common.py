@@ -16,6 +16,8 @@ SPACES = " \t\n\x0b\x0c\r"
 BROADCAST_ROWS = 500_000
 #: A key is hot from this part of all rows on, so there are at most so many hot keys, whatever the data.
 HOT_KEYS = 4096
+#: An Arrow batch has a fixed number of rows, whatever their size; a step gets parts of about so many bytes.
+STEP_BYTES = 2 << 20
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -53,13 +55,14 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int)
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list]]], schema: str) -> DataFrame:
-    """mapInArrow with `make()()`: called once per task, then once per batch to give the output columns."""
+    """mapInArrow with `make()()`: called once per task, then once per part of a batch to give the output columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(step(batch), schema=out)
+            rows = max(1, batch.num_rows * STEP_BYTES // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, rows):
+                yield pa.RecordBatch.from_pydict(step(batch.slice(at, rows)), schema=out)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
