@@ -19,10 +19,12 @@ RANKS = "byte_bpe_50k.tiktoken"
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    judged = quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    gone = saved(judged.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct(), "pipeline-gone")
-    return docs.join(broadcast_if_small(gone), docs["doc_id"].eqNullSafe(F.col("gone_id")), "left_anti")
+    """Rows that the quality rules reject go; other rows of the same id, or of none, stay unless their text is the same."""
+    judged = quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), digest=True)
+    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct()
+    gone = broadcast_if_small(saved(gone, "pipeline-gone"))
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone_id")) & (digest == F.col("gone_digest")), "left_anti")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
