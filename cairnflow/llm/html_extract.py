@@ -102,6 +102,9 @@ class Page:
             return
         if tag in BLOCKS:
             self.flush()
+            if self.hidden:  # what a block ends without an end tag
+                self.pop("head", () if tag == "body" else ("template", "noscript", "object", "iframe"))
+                self.pop("svg", ("foreignobject", "desc", "template"))
             self.pop("p", BLOCKS - {"p"}) if tag != "p" else self.pop("p", ("td", "th", "table", "button"))
             if tag in ENDS:
                 for name in ENDS[tag][0].split():
