@@ -1,10 +1,10 @@
-"""N-gram Jaccard join with a MinHash LSH forest and exact verification.
+"""N-gram Jaccard join with banded MinHash LSH and exact verification.
 
-Each text's shingle set has a signature, cut into one row of hashes for each tree of the forest; a tree is a prefix trie
-of these rows, kept as sorted prefix keys. Matched prefixes are shortened from DEPTH hashes on until the trees together
-reach the target recall at the threshold, so pairs to verify share a node at that depth in some tree. Nodes give star
-edges only, never pairs; texts that stars connect are dealt to the same groups, and there every pair is verified exactly
-by counting common shingles, in blocks, and leaves as counts of links and a local root.
+Each text's shingle set has a signature, cut into one row of hashes (a band) for each tree. All bands have one fixed depth:
+the longest, DEPTH hashes at most, at which they together reach the target recall at the threshold, as computed from the
+parameters. No prefix tries are kept and no prefix is shortened by what was found. Pairs to verify share a band's key.
+Keys give star edges only, never pairs; texts that stars connect are dealt to the same groups, and there every pair is
+verified exactly by counting common shingles, in blocks, and leaves as counts of links and a local root.
 """
 
 from __future__ import annotations
