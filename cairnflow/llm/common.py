@@ -54,15 +54,21 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int)
     return first.unionByName(rest)
 
 
+def parts(batches: Iterator[pa.RecordBatch], size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in parts of about `size` bytes, one row at least: what a step holds as Python objects is bounded."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * size // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list]]], schema: str) -> DataFrame:
     """mapInArrow with `make()()`: called once per task, then once per part of a batch to give the output columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
-            rows = max(1, batch.num_rows * STEP_BYTES // max(1, batch.nbytes))
-            for at in range(0, batch.num_rows, rows):
-                yield pa.RecordBatch.from_pydict(step(batch.slice(at, rows)), schema=out)
+        for part in parts(batches):
+            yield pa.RecordBatch.from_pydict(step(part), schema=out)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cairnflow.llm import html_extract, maxent_lm
@@ -40,18 +41,42 @@ def test_language_model(spark, texts):
 
 
 def test_probabilities_sum_to_one(texts):
-    counts = Counter(w for t in texts for w in maxent_lm.words_of(t)).most_common()
+    """Over the whole vocabulary and one unknown word for each leaf, after several histories and with weights that matter."""
+    counts = Counter(w for t in texts for w in [*t.lower().encode().split(), maxent_lm.END])
+    hot = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
+    size = maxent_lm.Size(side=4)  # a head of 16 words, 512 leaves
     mass = Counter()
-    for w, c in counts[maxent_lm.HEAD :]:
-        mass[maxent_lm.tail_class(w)] += c + maxent_lm.PSEUDO
-    vocabulary, weights = maxent_lm.Vocabulary(counts, mass), maxent_lm.Weights()
-    weights.outer += np.random.Generator(np.random.PCG64(1)).normal(size=weights.outer.shape).astype(np.float32)
-    history = b"le de "
-    p = [10 ** (maxent_lm.score_batch(vocabulary, weights, [(history + w).decode()])["rest"][0] - maxent_lm.score_batch(vocabulary, weights, [(history + w).decode()])["rest"][0]) for w in (b"la",)]
-    number, cls, sizes, _ = vocabulary.encode([history.decode()])
-    rows, _ = maxent_lm.history_rows(number, cls, sizes)
-    x = maxent_lm.outer_logits(vocabulary, weights, rows)
-    assert p == [1.0] and np.allclose(np.exp(x - maxent_lm.log_normaliser(x)[:, None]).sum(1), 1, atol=1e-4)
+    for w, c in hot[size.head :]:
+        mass[maxent_lm.cell_of(w, size)] += c + maxent_lm.PSEUDO
+    looked_up = hot[:40]  # the others are rare, and their counts are joined
+    vocabulary, weights = maxent_lm.Vocabulary(looked_up, mass, size), maxent_lm.Weights(size)
+    rng = np.random.Generator(np.random.PCG64(1))
+    for t in weights.tables:
+        t += rng.normal(size=t.shape).astype(np.float32)
+    unknown, k = {}, 0
+    while len(unknown) < size.cells:
+        word = f"new{k}".encode()
+        unknown.setdefault(maxent_lm.cell_of(word, size), word)
+        k += 1
+    words = [w.decode() for w in (*(w for w, _ in hot if w != maxent_lm.END), *unknown.values())]
+    for history in ("", "le", "de la", "unheard thing1", "le de la que"):
+        rows = pa.array([f"{history} {w}" for w in words] + [history])
+        number, code, cell, sizes, _, _ = vocabulary.encode(rows)
+        score = maxent_lm.token_scores(vocabulary, weights, number, code, cell, sizes)
+        ends = np.cumsum(sizes)
+        at = np.append(ends[:-1] - 2, ends[-1] - 1)  # the word after the history, and the end after it
+        found = [counts[w.encode()] for w in words] + [counts[maxent_lm.END]]
+        p = 10 ** (score[at] + np.where(cell[at] >= 0, np.log10(np.array(found) + maxent_lm.PSEUDO), 0))
+        assert abs(p.sum() - 1) < 1e-3, (history, p.sum())
+
+
+def test_near_an_interpolated_bigram(spark):
+    """Held-out rows of the small table: well above the base, and most of the way to a bigram that keeps every pair."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = [r for r in maxent_lm.lm_scores(rows).collect() if r.held_out]
+    n = sum(r.n_tokens for r in found)
+    base, score = sum(r.base_score for r in found) / n, sum(r.score for r in found) / n
+    assert base < -4.0 and score > -3.6, (base, score)
 
 
 def test_quality_columns(spark):
