@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that separates words, as listed by the contracts: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
-#: A side of a join is broadcast up to so many rows of a few numbers each (some 16 MB); beyond, Spark shuffles it.
-BROADCAST_ROWS = 500_000
+#: A side of a join is broadcast up to so many bytes of its values; beyond, Spark shuffles it.
+BROADCAST_BYTES = 16 << 20
 #: A key is hot from this part of all rows on, so there are at most so many hot keys, whatever the data.
 HOT_KEYS = 4096
 #: An Arrow batch has a fixed number of rows, whatever their size; a step gets parts of about so many bytes.
@@ -21,9 +23,14 @@ STEP_BYTES = 2 << 20
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the cluster names in spark.checkpoint.dir; a temporary one where that is unset."""
+    """A fresh path in the folder that the cluster names in spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder serves sessions whose tasks all run on this machine; others have to set it.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="cairnflow-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -33,12 +40,34 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared scratch folder and read again: cuts the lineage, and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that `saved` has written and that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(df.scratch)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def value_bytes(df: DataFrame) -> int:
+    """Bytes of all values of `df`: the length of texts, eight for each number and each item of an array."""
+
+    def size(name: str, kind: str) -> Column:
+        if kind in ("string", "binary"):
+            return F.octet_length(name)
+        return F.size(name) * 8 if kind.startswith("array") else F.lit(8)
+
+    width = reduce(lambda a, b: a + b, [F.coalesce(size(n, k), F.lit(8)) for n, k in df.dtypes])
+    return df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()[0]
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` (narrow and saved) with a broadcast hint if its counted rows stay within `rows`; else Spark plans the join."""
-    return F.broadcast(df) if df.count() <= rows else df
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` (saved) with a broadcast hint if its values have `limit` bytes at most; else Spark plans the join."""
+    return F.broadcast(df) if value_bytes(df) <= limit else df
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
