@@ -2,8 +2,10 @@
 
 A line's key is the line without white space at its ends and with A-Z in lower case; keys of MIN_CHARS code points or
 more count. An index holds, as Parquet tables: postings (key, document), counts (key, number of documents, smallest
-document) and a cuckoo filter of the live keys for each shard of keys. An insertion looks up in the counts only those
-keys that the filters let through; a deletion takes keys without documents out of the filters again.
+document, version) and a cuckoo filter of the live keys for each shard of keys. Counts are only appended to; a key's newest
+row holds. An insertion asks the filters first: keys that they don't let through are new for certain and appended as they
+are, and only the others have their rows looked up. A deletion appends the counts that are left and takes keys without
+documents out of the filters again. Shards are dealt anew when they have grown to twice their size.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructType
 
-from cairnflow.llm.common import HOT_KEYS, SPACES, arrow_map, saved, scratch_path
+from cairnflow.llm.common import HOT_KEYS, SPACES, arrow_map, broadcast_if_small, parts, saved
 
 MIN_CHARS, KEY_BYTES = 10, 16
-#: Keys of a shard at most when an index is made; a filter takes about three bytes for each.
+#: Keys of a shard when shards are dealt; a filter takes about three bytes for each.
 SHARD_KEYS = 200_000
 
 
@@ -106,8 +108,10 @@ class CuckooFilter:
         return out
 
 
-def key_hashes(keys: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(keys), "<u8").reshape(-1, KEY_BYTES // 8)[:, 0].astype(np.uint64) if keys else np.empty(0, np.uint64)
+def key_hashes(keys: pa.ChunkedArray) -> np.ndarray:
+    """The first eight bytes of keys of KEY_BYTES."""
+    words = [np.frombuffer(c.buffers()[2], np.uint64, KEY_BYTES // 8 * len(c), int(np.frombuffer(c.buffers()[1], np.int32, 1, 4 * c.offset)[0])) for c in keys.chunks if len(c)]
+    return np.concatenate(words).reshape(-1, KEY_BYTES // 8)[:, 0] if words else np.empty(0, np.uint64)
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,67 +133,100 @@ def _shard(n: int):
     return F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
 
 
+FILTERS = "shard int, filter binary"
+
+
 class LineIndex:
-    """One version of an index: its tables, and its number of shards. Changes give a new version; this one stays."""
+    """One version of an index: its tables, and its number of shards and live keys. Changes give a new version; this one stays."""
 
-    def __init__(self, postings: DataFrame, counts: DataFrame, filters: DataFrame, shards: int):
-        self.postings, self.counts, self.filters, self.shards = postings, counts, filters, shards
+    def __init__(self, postings: DataFrame, counts: DataFrame, filters: DataFrame, shards: int, keys: int = 0, version: int = 0):
+        self.postings, self.counts, self.filters, self.shards, self.keys, self.version = postings, counts, filters, shards, keys, version
 
     @classmethod
     def empty(cls, spark: SparkSession, doc_type: str = "bigint", shards: int = 1) -> LineIndex:
         frame = lambda schema: spark.createDataFrame([], schema)
-        return cls(frame(f"key binary, doc {doc_type}"), frame(f"key binary, docs bigint, first {doc_type}"), frame("shard int, filter binary"), shards)
+        return cls(frame(f"key binary, doc {doc_type}"), frame(f"key binary, docs bigint, first {doc_type}, version int"), frame(FILTERS), shards)
+
+    def live(self, counts: DataFrame | None = None) -> DataFrame:
+        """(key, docs, first) of each key that a document has: its newest count."""
+        newest = F.max_by(F.struct("docs", "first"), "version").alias("c")
+        return (self.counts if counts is None else counts).groupBy("key").agg(newest).select("key", "c.docs", "c.first").where("docs > 0")
 
     def insert(self, new: DataFrame) -> LineIndex:
-        """With the postings `new` added; what is there already changes nothing, so a repeated insertion is safe."""
-        new = saved(new.join(self.postings, (new["key"] == self.postings["key"]) & new["doc"].eqNullSafe(self.postings["doc"]), "left_anti"), "line-new")
-        batch = saved(new.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first")), "line-batch")
-        # One row a key and a known number of keys: shards stay small whatever the lines.
-        keys = batch.count()
-        index = self if not self.counts.isEmpty() else LineIndex(self.postings, self.counts, self.filters, max(1, -(-keys // SHARD_KEYS)))
-        seen = saved(index._asked(batch.select("key")), "line-seen")
-        # The exact counts of keys that the filter lets through; all others are new for certain.
-        maybe = seen.where("seen").select("key").join(index.counts, "key")
-        merged = batch.join(maybe.withColumnRenamed("docs", "old").withColumnRenamed("first", "old_first"), "key", "left")
-        changed = merged.select("key", (F.col("docs") + F.coalesce("old", F.lit(0))).alias("docs"), F.least("first", "old_first").alias("first"), F.col("old").isNull().alias("fresh"))
+        """With the postings `new` (saved, distinct) added; what is there already changes nothing, so an insertion may be repeated."""
+        version = self.version + 1
+        maybe = saved(self._asked(new.select("key").distinct()), "line-maybe")
+        known = broadcast_if_small(maybe)
+        # Of keys that the filters let through, and of these alone: postings that are there already, and exact counts.
+        there = self.postings.join(known, "key", "left_semi").select(F.col("key").alias("old_key"), F.col("doc").alias("old_doc"))
+        new = saved(new.join(there, (F.col("key") == F.col("old_key")) & F.col("doc").eqNullSafe(F.col("old_doc")), "left_anti"), "line-new")
+        old = self.live(self.counts.join(known, "key", "left_semi")).select("key", F.col("docs").alias("old"), F.col("first").alias("old_first"))
+        batch = new.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first")).join(old, "key", "left")
+        changed = batch.select("key", (F.col("docs") + F.coalesce("old", F.lit(0))).alias("docs"), F.least("first", "old_first").alias("first"), F.lit(version).alias("version"), F.col("old").isNull().alias("fresh"))
         changed = saved(changed, "line-changed")
-        counts = saved(index.counts.join(changed, "key", "left_anti").unionByName(changed.drop("fresh")), "line-counts") if not index.counts.isEmpty() else changed.drop("fresh")
-        filters = index._refiltered(changed.where("fresh").select("key"), counts, add=True)
-        posts = index.postings.unionByName(new) if not index.postings.isEmpty() else new
-        return LineIndex(posts, counts, filters, index.shards)
+        counts = self.counts.unionByName(changed.drop("fresh"))
+        fresh = changed.where("fresh").select("key")
+        keys = self.keys + fresh.count()
+        out = LineIndex(self.postings.unionByName(new), counts, self.filters, self.shards, keys, version)
+        if keys > 2 * SHARD_KEYS * self.shards:
+            return out.resharded(-(-keys // SHARD_KEYS))
+        out.filters = self._refiltered(fresh, add=True)
+        return out if out.filters is not None else self_sharded(out)
 
     def remove(self, docs: DataFrame) -> LineIndex:
-        """Without the documents of `docs` (column doc): as if they had never been inserted."""
-        gone = docs.select("doc").distinct().withColumnRenamed("doc", "gone")
+        """Without the documents of `docs` (column doc, null is a document too): as if they had never been inserted.
+
+        Documents that the index doesn't have change nothing, and without any the index stays as it is.
+        """
+        version = self.version + 1
+        gone = broadcast_if_small(saved(docs.select(F.col("doc").alias("gone")).distinct(), "line-gone"))
         same = F.col("doc").eqNullSafe(F.col("gone"))
-        lost = saved(self.postings.join(gone, same, "left_semi"), "line-lost")
-        posts = saved(self.postings.join(gone, same, "left_anti"), "line-postings")
-        touched = lost.select("key").distinct()
-        left = saved(posts.join(touched, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first")), "line-left")
-        counts = saved(self.counts.join(touched, "key", "left_anti").unionByName(left), "line-counts")
-        dead = touched.join(left, "key", "left_anti")
-        return LineIndex(posts, counts, self._refiltered(dead, counts, add=False), self.shards)
+        touched = saved(self.postings.join(gone, same, "left_semi").select("key").distinct(), "line-touched")
+        posts = self.postings.join(gone, same, "left_anti")  # not written anew
+        some = broadcast_if_small(touched)
+        left = posts.join(some, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first"))
+        changed = saved(touched.join(left, "key", "left").select("key", F.coalesce("docs", F.lit(0)).alias("docs"), "first", F.lit(version).alias("version")), "line-changed")
+        dead = changed.where("docs = 0").select("key")
+        out = LineIndex(posts, self.counts.unionByName(changed), self.filters, self.shards, self.keys - dead.count(), version)
+        out.filters = self._refiltered(dead, add=False)
+        return out
+
+    def resharded(self, shards: int) -> LineIndex:
+        """The same index with so many shards, whose filters are made from the live keys."""
+
+        def build(key: tuple, table: pa.Table) -> pa.Table:
+            h, size = np.unique(key_hashes(table.column("key"))), 2
+            while True:
+                made = CuckooFilter(size * max(len(h), 512))
+                try:
+                    made.insert(h)
+                    return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([made.to_bytes()], pa.binary())})
+                except OverflowError:
+                    size *= 2
+
+        filters = saved(self.live().select("key").withColumn("shard", _shard(shards)).groupBy("shard").applyInArrow(build, FILTERS), "line-filters")
+        return LineIndex(self.postings, self.counts, filters, shards, self.keys, self.version)
 
     def _asked(self, keys: DataFrame) -> DataFrame:
-        """(key, seen): whether the shard's filter lets a key through. A shard is one group of SHARD_KEYS keys or so."""
+        """Those of `keys` that their shard's filter lets through. A shard is one group of 2 * SHARD_KEYS keys at most."""
 
         def ask(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-            own = left.column("key").to_pylist()
-            blobs = right.column("filter").to_pylist()
-            seen = CuckooFilter.from_bytes(blobs[0]).contains(key_hashes(own)) if blobs else np.zeros(len(own), bool)
-            return pa.table({"key": pa.array(own, pa.binary()), "seen": pa.array(seen)})
+            own = left.column("key")
+            if not right.num_rows:
+                return pa.table({"key": own.slice(0, 0)})
+            return pa.table({"key": own.filter(pa.array(CuckooFilter.from_bytes(right.column("filter")[0].as_py()).contains(key_hashes(own))))})
 
         sharded = keys.withColumn("shard", _shard(self.shards))
-        return sharded.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(ask, "key binary, seen boolean")
+        return sharded.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(ask, "key binary")
 
-    def _refiltered(self, changed: DataFrame, counts: DataFrame, add: bool) -> DataFrame:
-        """The filters after keys have come or gone; one that overflows is made again from the live keys."""
-        out = to_arrow_schema(StructType.fromDDL("shard int, filter binary, full boolean"))
+    def _refiltered(self, changed: DataFrame, add: bool) -> DataFrame | None:
+        """The filters after keys have come or gone; None if one has no room, so that all are made again."""
+        out = to_arrow_schema(StructType.fromDDL(FILTERS + ", full boolean"))
 
         def change(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-            h = key_hashes(left.column("key").to_pylist())
+            h = key_hashes(left.column("key"))
             blobs = right.column("filter").to_pylist()
-            made, full = CuckooFilter.from_bytes(blobs[0]) if blobs else CuckooFilter(max(len(h), 1024)), False
+            made, full = CuckooFilter.from_bytes(blobs[0]) if blobs else CuckooFilter(2 * max(len(h), 512)), False
             try:
                 made.insert(h) if add else made.remove(h)
             except OverflowError:
@@ -197,33 +234,22 @@ class LineIndex:
             return pa.Table.from_pylist([{"shard": key[0].as_py(), "filter": made.to_bytes(), "full": full}], schema=out)
 
         sharded = changed.withColumn("shard", _shard(self.shards))
-        done = saved(sharded.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(change, "shard int, filter binary, full boolean"), "line-filters")
-        full = done.where("full").select("shard")
-        if full.isEmpty():
-            return done.select("shard", "filter")
+        done = saved(sharded.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(change, FILTERS + ", full boolean"), "line-filters")
+        return done.drop("full") if done.where("full").isEmpty() else None
 
-        def rebuild(key: tuple, table: pa.Table) -> pa.Table:
-            h, size = np.unique(key_hashes(table.column("key").to_pylist())), 2
-            while True:
-                made = CuckooFilter(size * len(h))
-                try:
-                    made.insert(h)
-                    return pa.Table.from_pylist([{"shard": key[0].as_py(), "filter": made.to_bytes(), "full": False}], schema=out)
-                except OverflowError:
-                    size *= 2
 
-        again = counts.select("key").withColumn("shard", _shard(self.shards)).join(full, "shard", "left_semi").groupBy("shard").applyInArrow(rebuild, "shard int, filter binary, full boolean")
-        return saved(done.where("NOT full").unionByName(again).select("shard", "filter"), "line-filters")
+def self_sharded(index: LineIndex) -> LineIndex:
+    """`index` with filters made again, with room for its keys."""
+    return index.resharded(max(index.shards, -(-index.keys // SHARD_KEYS)))
 
 
-def dropped_keys(found: DataFrame, counts: DataFrame) -> DataFrame:
-    """(doc, keys): for each document the keys that it loses, since a smaller document holds them.
+def dropped_keys(found: DataFrame, shared: DataFrame) -> DataFrame:
+    """(doc, keys): for each document the keys of `shared` (key, docs, first) that it loses, since a smaller one holds them.
 
     A few keys may be in a third of all documents: those with 1 / HOT_KEYS of all postings or more, HOT_KEYS at most, are
     broadcast; the postings of all others are shuffled by key.
     """
     total = max(1, found.count())
-    shared = counts.where("docs > 1")
     hot = F.broadcast(shared.where(F.col("docs") * HOT_KEYS >= total).select("key", "first"))
     cold = shared.where(F.col("docs") * HOT_KEYS < total).select("key", "first")
     lose = found.join(hot, "key").unionByName(found.join(hot, "key", "left_anti").join(cold, "key"))
@@ -231,17 +257,26 @@ def dropped_keys(found: DataFrame, counts: DataFrame) -> DataFrame:
     return lose.groupBy("doc").agg(F.collect_list("key").alias("keys"))
 
 
-def deduped_lines(docs: DataFrame, index: LineIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, LineIndex]:
+def deduped_lines(docs: DataFrame, index: LineIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batches: int = 2, put_back: int = 0) -> tuple[DataFrame, LineIndex]:
     """The rows of `docs` with columns n_lines, n_dropped and text_col as it stays, and the index with `docs` inserted.
 
     A key in two documents or more loses all its lines except in the smallest id that holds it. Null and empty texts are
     one empty line. Rows that share an id are one document and all keep what it keeps; null ids are one document, the
     largest. Repeated lines of the keeping document stay. Other columns stay as they are; an empty table gives no rows.
+
+    Documents are inserted in `batches` parts by the hash of their ids, each of which asks the filters that those before
+    have left. With `put_back`, one document in so many is deleted again and put back, which changes no row.
     """
     spark = docs.sparkSession
     found = saved(postings(docs, id_col, text_col), "line-postings")
-    index = (index or LineIndex.empty(spark, found.schema["doc"].dataType.simpleString())).insert(found)
-    lose = dropped_keys(found, index.counts)
+    part = F.xxhash64(F.lit(3), "doc")
+    index = index or LineIndex.empty(spark, found.schema["doc"].dataType.simpleString())
+    for k in range(batches):
+        index = index.insert(found.where(F.pmod(part, F.lit(batches)) == k))
+    if put_back:
+        again = found.where(F.pmod(F.shiftright(part, 20), F.lit(put_back)) == 0)
+        index = index.remove(again.select("doc").distinct()).insert(again)
+    lose = dropped_keys(found, saved(index.live().where("docs > 1"), "line-shared"))
     names = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*[docs[c].alias(n) for c, n in names.items()])
     rows = rows.join(lose.withColumnRenamed("doc", "lose_doc"), F.col(names[id_col]).eqNullSafe(F.col("lose_doc")), "left").drop("lose_doc")
@@ -251,7 +286,7 @@ def deduped_lines(docs: DataFrame, index: LineIndex | None = None, id_col: str =
     out = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             n_lines, n_dropped, texts = [], [], []
             for text, keys in zip(batch.column(at).to_pylist(), batch.column(keys_at).to_pylist(), strict=True):
                 lines = (text or "").split("\n")

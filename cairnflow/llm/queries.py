@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,8 @@ from cairnflow.llm.warc import read_archive, write_archive
 #: Production parameters.
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
+#: One document in so many is deleted from the line index and put back.
+PUT_BACK = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +36,7 @@ def op1_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = deduped_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows, _ = deduped_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), put_back=PUT_BACK)
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
@@ -84,7 +87,77 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
+#: Words of a text, in DuckDB's SQL.
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a text in DuckDB's SQL: each half of each byte, the lower one first, picks one of 16 remainders."""
+    remainders = [reduce(lambda x, _: x >> 1 ^ (x & 1) * 0xEDB88320, range(4), i) for i in range(16)]
+    halves = "list_transform(range(length(h)), lambda i: (instr('0123456789ABCDEF', h[xor(i, 1) + 1]) - 1)::BIGINT)"
+    step = f"lambda c, b: xor(c >> 4, ({remainders}::BIGINT[])[(xor(c, b) & 15) + 1])"
+    return f"(SELECT xor(4294967295::BIGINT, list_reduce({halves}, {step}, 4294967295::BIGINT)) FROM (SELECT hex(encode({text})) AS h))"
+
+
 ORACLES: dict[str, str] = {
+    "op5_jaccard_join": rf"""
+        WITH RECURSIVE docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        texts AS (SELECT text, count(*) AS copies, min(doc_id) AS copy_id, {_WORDS} AS words FROM docs GROUP BY text),
+        sets AS (
+            SELECT copy_id AS t, list_distinct(list_transform(range(greatest(len(words) - 4, least(len(words), 1))), lambda i: words[i + 1 : i + 5])) AS s FROM texts),
+        shingles AS (SELECT t, len(s) AS size, unnest(s) AS shingle FROM sets),
+        common AS (
+            SELECT a.t AS a, b.t AS b, a.size AS a_size, b.size AS b_size, count(*) AS n
+            FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.t <> b.t GROUP BY ALL),
+        near AS (SELECT a, b FROM common WHERE n >= 0.8 * (a_size + b_size - n) - 1e-9),
+        reach(t, c) USING KEY (t) AS (
+            SELECT copy_id, copy_id FROM texts
+            UNION
+            SELECT n.a, min(r.c) FROM near n JOIN reach r ON n.b = r.t JOIN recurring.reach o ON o.t = n.a WHERE r.c < o.c GROUP BY n.a),
+        links AS (SELECT a, count(*) AS n_text_links, sum(copies) AS n FROM near JOIN texts ON copy_id = b GROUP BY a)
+        SELECT d.doc_id, x.copy_id, r.c AS class_id, coalesce(l.n_text_links, 0)::BIGINT AS n_text_links, (coalesce(l.n, 0) + x.copies - 1)::BIGINT AS n_links
+        FROM docs d JOIN texts x ON d.text = x.text JOIN reach r ON r.t = x.copy_id LEFT JOIN links l ON l.a = x.copy_id""",
+    "op8_quality": rf"""
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS} AS words FROM documents),
+        distinct_words AS (SELECT DISTINCT unnest(words) AS w FROM docs),
+        crc AS (SELECT w, {_crc32("w")} AS h FROM distinct_words),
+        places AS (SELECT r, unnest(words) AS w, generate_subscripts(words, 1) AS pos FROM docs),
+        hashed AS (SELECT r, pos, h, lead(h) OVER (PARTITION BY r ORDER BY pos) AS h2 FROM places JOIN crc USING (w)),
+        grams AS (
+            SELECT r, h % 65536 AS bucket FROM hashed UNION ALL
+            SELECT r, ((h * 1103515 + h2 * 12345) >> 11) % 65536 FROM hashed WHERE h2 IS NOT NULL),
+        good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL),
+        trusted AS (
+            SELECT doc_id, {_crc32("('held ' || doc_id)")} % 5 = 0 AS held
+            FROM (SELECT doc_id FROM good ORDER BY {_crc32("doc_id::VARCHAR")}, doc_id LIMIT 50000)),
+        counts AS (
+            SELECT bucket, count(*) AS raw, count(t.doc_id) AS good
+            FROM grams JOIN docs USING (r) LEFT JOIN (SELECT doc_id FROM trusted WHERE NOT held) t ON t.doc_id = docs.doc_id GROUP BY bucket),
+        filled AS (SELECT b.range AS bucket, coalesce(raw, 0) AS raw, coalesce(good, 0) AS good FROM range(65536) b LEFT JOIN counts ON bucket = b.range),
+        totals AS (SELECT (sum(raw) + 65536)::DOUBLE AS all_raw, sum(good)::DOUBLE AS all_good, greatest(1.0::DOUBLE, 0.1::DOUBLE * sum(good)) AS prior FROM filled),
+        weights AS (
+            SELECT bucket, round(ln((good + prior * ((raw + 1)::DOUBLE / all_raw)) / (all_good + prior) / ((raw + 1)::DOUBLE / all_raw)) * 1000000)::BIGINT AS weight
+            FROM filled, totals),
+        scores AS (SELECT r, count(*) AS n_grams, sum(weight)::DOUBLE / count(*) / 1000000 AS llr FROM grams JOIN weights USING (bucket) GROUP BY r),
+        held AS (SELECT llr FROM scores JOIN docs USING (r) JOIN trusted USING (doc_id) WHERE held AND n_grams >= 20),
+        cut AS (
+            SELECT CASE WHEN count(*) < 8 THEN '-inf'::DOUBLE
+                   ELSE round((quantile_cont(llr, 0.01) - 0.5::DOUBLE * (quantile_cont(llr, 0.75) - quantile_cont(llr, 0.25))) * 1000000) / 1000000 END AS threshold FROM held),
+        lines AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS l FROM docs),
+        starts AS (SELECT r, list_transform(range(len(words) - 4), lambda i: hash(words[i + 1 : i + 5])) AS own FROM docs WHERE len(words) >= 5),
+        listed AS (SELECT r, unnest(own) AS own, generate_subscripts(own, 1) AS pos FROM starts),
+        windows AS (SELECT r, pos, count(*) OVER (PARTITION BY r, own) AS times FROM listed),
+        repeats AS (SELECT r, count(DISTINCT pos + k.range) AS n FROM windows, range(5) k WHERE times > 1 GROUP BY r),
+        base AS (
+            SELECT r, doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+                   len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+                   coalesce(n, 0)::BIGINT AS n_repeat_words
+            FROM docs JOIN lines USING (r) LEFT JOIN repeats USING (r)),
+        judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, coalesce(n_grams, 0)::BIGINT AS n_grams, llr, base_failed, threshold,
+               NOT base_failed AND coalesce(llr, 0) >= threshold AS kept
+        FROM judged LEFT JOIN scores USING (r), cut""",
     "op2_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

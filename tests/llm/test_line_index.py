@@ -18,7 +18,7 @@ def test_filter_inserts_and_removes():
 
 
 def counts(index):
-    return {bytes(r.key): (r.docs, r.first) for r in index.counts.collect()}
+    return {bytes(r.key): (r.docs, r.first) for r in index.live().collect()}
 
 
 def test_removal_undoes_insertion(spark):
@@ -32,8 +32,37 @@ def test_removal_undoes_insertion(spark):
     assert counts(again) == counts(first)
     without = both.remove(spark.createDataFrame([(0,)], "doc bigint"))
     assert min(f for _, f in counts(without).values()) == 1
-    seen = {bytes(r.key): r.seen for r in again._asked(both.counts.select("key")).collect()}
-    assert all(seen[k] for k in counts(first)) and sum(not s for s in seen.values()) > 25
+    asked = set(counts(both))
+    seen = {bytes(r.key) for r in again._asked(both.live().select("key")).collect()}
+    assert set(counts(first)) <= seen and len(asked - seen) > 25
+    assert counts(again.insert(postings(b))) == counts(both)
+    fine = both.resharded(5)
+    assert fine.filters.count() == 5 and {bytes(r.key) for r in fine._asked(both.live().select("key")).collect()} == asked
+    assert counts(fine.remove(b.selectExpr("doc_id doc"))) == counts(first)
+
+
+def texts_of(n):
+    return [(i, f"a line that all share\nline of three {i // 3} documents\nown line number {i}") for i in range(n)]
+
+
+def test_the_rows_depend_on_the_filters(spark, monkeypatch):
+    docs = spark.createDataFrame(texts_of(90), "doc_id bigint, text string")
+    rows = lambda **how: {r.doc_id: r.text for r in deduped_lines(docs, **how)[0].collect()}
+    want = {i: t if i == 0 else "\n".join(t.split("\n")[1 + (i % 3 > 0) :]) for i, t in texts_of(90)}
+    assert rows() == want and rows(batches=3, put_back=4) == want and rows(batches=1) == want
+    whole = LineIndex._refiltered
+    monkeypatch.setattr(LineIndex, "_refiltered", lambda self, changed, add: whole(self, changed, add).limit(0))
+    assert rows() != want  # filters that let nothing through
+
+
+def test_shards_are_dealt_anew_as_keys_come(spark, monkeypatch):
+    monkeypatch.setattr("cairnflow.llm.line_dedup.SHARD_KEYS", 40)
+    index, sizes = None, []
+    for k in range(4):
+        part = spark.createDataFrame([(i + 50 * k, t + f" of {k}") for i, t in texts_of(50)], "doc_id bigint, text string")
+        _, index = deduped_lines(part, index)
+        sizes.append(index.shards)
+    assert sizes[-1] > sizes[0] and index.keys == len(counts(index)) <= 2 * 40 * index.shards
 
 
 def test_incremental_dedup(spark):
