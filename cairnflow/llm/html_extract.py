@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from cairnflow.llm.common import arrow_map
 from cairnflow.llm.html_samples import labelled_pages
 
-#: Fixed values of HTML: elements that are blocks, that have no end tag, and whose text is never shown as text.
+#: Fixed values of HTML: elements that are blocks, that have no end tag, and whose text is no text of the page where it is
+#: read: scripts and styles, what stands in for a script, picture or frame that is shown, and the parts of forms.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html ins legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = set("head script style template noscript title textarea select option button iframe object svg datalist".split())
@@ -44,8 +45,10 @@ _AT = {f: i for i, f in enumerate(FEATURES)}
 PAGES, STEPS = 500, 800
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
-#: Comments, declarations, end tags (1) and start tags (2) with attributes (3), whose values may hold ">".
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|</([a-zA-Z][^\s/>]*+)[^>]*+>|<([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<([a-zA-Z])[^>]*+>""", re.S)
+#: Start tags with attributes (2), whose values may hold ">"; the same up to the next ">"; end tags.
+_START = re.compile(r"""<([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_PLAIN = re.compile(r"<([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_END = re.compile(r"</([a-zA-Z][^\s/>]*+)[^>]*+>")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
 RAW = ("script", "style", "title", "textarea", "iframe", "noscript", "template")
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
@@ -59,29 +62,57 @@ class Page:
         self.chars, self.linked = [0], [0]
         self.segments: list[tuple[int, str]] = []
         self.stack: list[tuple[str, int]] = [("html", 0)]
+        self.open: dict[str, list[int]] = {"html": [0]}  # where in the stack each tag is
         self.run: list[str] = []
         self.hidden = self.links = 0
         self.read(html)
         self.flush()
 
     def read(self, html: str) -> None:
-        at = 0
-        for m in iter(lambda: _MARKUP.search(html, at), None):
-            if m.start() > at:
-                self.text(html[at : m.start()])
-            at = m.end()
-            if end := m[1]:
-                self.end(end.lower())
-            elif start := m[2]:
-                tag = start.lower()
+        """One pass: what is scanned in vain, for a ">" or a quote that never comes, is scanned once."""
+        at, last, quoted = 0, html.rfind(">"), True
+        while (start := html.find("<", at)) >= 0:
+            after = html[start + 1 : start + 2]
+            if html.startswith("<!--", start):
+                stop = html.find("-->", start + 4)
+                found, end = True, stop + 3 if stop >= 0 else len(html)
+            elif start > last:
+                break
+            elif after in ("!", "?"):
+                found, end = True, html.index(">", start) + 1
+            elif after == "/":
+                found = _END.match(html, start)
+                end = found.end() if found else start + 1
+            elif after.isascii() and after.isalpha():
+                found = _START.match(html, start) if quoted else None
+                if not found:  # a quote is open to the end: from here on quotes mean nothing
+                    quoted, found = False, _PLAIN.match(html, start)
+                end = found.end()
+            else:
+                found, end = None, start + 1
+            if not found:  # it is text
+                self.text(html[at:end])
+                at = end
+                continue
+            if start > at:
+                self.text(html[at:start])
+            at = end
+            if after == "/":
+                self.end(found[1].lower())
+            elif after not in ("!", "?"):
+                tag = found[1].lower()
                 if tag in RAW:  # its content is no markup, up to its end tag
                     stop = _RAW_END[tag].search(html, at)
                     at = stop.end() if stop else len(html)
                 else:
-                    self.start(tag, m[3])
+                    self.start(tag, found[2])
         if at < len(html):
             self.text(html[at:])
 
+    def push(self, tag: str, block: int) -> None:
+        self.open.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, block))
+
     def flush(self) -> None:
         """Ends the segment of the innermost block."""
         if self.run:
@@ -94,11 +125,11 @@ class Page:
     def start(self, tag: str, attributes: str) -> None:
         if tag == "br":
             self.run.append(" ")
-        if tag in ("html", "body") and any(t == tag for t, _ in self.stack) or tag in VOID and tag != "hr":
+        if tag in ("html", "body") and self.open.get(tag) or tag in VOID and tag != "hr":
             return
         if tag in HIDDEN:
             self.hidden += 1
-            self.stack.append((tag, self.stack[-1][1]))
+            self.push(tag, self.stack[-1][1])
             return
         if tag in BLOCKS:
             self.flush()
@@ -126,23 +157,26 @@ class Page:
             self.depth.append(self.depth[up] + 1)
             self.chars.append(0)
             self.linked.append(0)
-            self.stack.append((tag, len(self.tag) - 1))
+            self.push(tag, len(self.tag) - 1)
             return
         self.links += tag == "a"
-        self.stack.append((tag, self.stack[-1][1]))
+        self.push(tag, self.stack[-1][1])
 
     def pop(self, tag: str, stop) -> None:
         """Ends the innermost open `tag`, if there is one within the innermost of `stop`."""
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k][0] == tag:
-                self.flush()
-                for name, _ in self.stack[k:]:
-                    self.hidden -= name in HIDDEN
-                    self.links -= name == "a"
-                del self.stack[k:]
-                return
-            if self.stack[k][0] in stop:
-                return
+        if not (own := self.open.get(tag)) or any(at[-1] > own[-1] for x in stop if (at := self.open.get(x))):
+            return
+        self.flush()
+        while len(self.stack) > max(1, own[-1] + 1):
+            self.drop()
+        if len(self.stack) > 1:
+            self.drop()
+
+    def drop(self) -> None:
+        name = self.stack.pop()[0]
+        self.open[name].pop()
+        self.hidden -= name in HIDDEN
+        self.links -= name == "a"
 
     def end(self, tag: str) -> None:
         if tag not in ("html", "body", "br"):
@@ -186,7 +220,7 @@ class Forest:
         self.first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         self.parent = np.concatenate([np.where(np.array(p.parent) < 0, -1, np.array(p.parent) + a) for p, a in zip(pages, self.first, strict=False)])
         depth = np.concatenate([np.array(p.depth) for p in pages])
-        self.levels = [np.flatnonzero(depth == d) for d in range(depth.max() + 1)]
+        self.levels = np.split(np.argsort(depth, kind="stable"), np.cumsum(np.bincount(depth))[:-1])
         listed = [f for p in pages for f in features(p)]
         self.at = np.repeat(np.arange(len(listed)), [len(f) for f in listed])
         self.on = np.fromiter((x for f in listed for x in f), np.int64)
@@ -200,8 +234,7 @@ class Forest:
         for level in self.levels[:0:-1]:  # upward: messages of children are in their parents' sums before those send
             m = below[level][:, None, :] + edge[None]
             up[level] = np.logaddexp(m[..., 0], m[..., 1])
-            for s in (0, 1):
-                below[:, s] += np.bincount(self.parent[level], up[level, s], n)
+            np.add.at(below, self.parent[level], up[level])
         top = below[self.levels[0]]
         log_z = float(np.logaddexp(top[:, 0], top[:, 1]).sum())
         above, pairs = np.zeros((n, 2)), np.zeros((2, 2))

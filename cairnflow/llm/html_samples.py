@@ -16,7 +16,15 @@ CHROME = {
     "form": [("form", ""), ("form", "search"), ("form", "login"), ("div", "form")],
 }
 MAIN = [("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "article"), ("div", "post"), ("div", "entry-content"), ("section", "story"), ("div", "main"), ("div", "body"), ("div", "text"), ("div", "article-body")]
-SYLLABLES = "the of and an er re on in ti es le que de la ion ment der sch ein ich os as cio do ra th st nd ou".split()
+CONSONANTS, VOWELS = "bcdfghklmnprstvwz", "aeiouy"
+#: One name in so many of each kind, the last ones, makes the layouts that `unseen` pages have and `seen` ones lack.
+HELD = 3
+
+
+def _held(names: list, unseen: bool | None) -> list:
+    """All `names`; or those of unseen layouts, or those of seen ones."""
+    cut = len(names) - max(1, len(names) // HELD)
+    return names if unseen is None else names[cut:] if unseen else names[:cut]
 
 
 def _open(rng: random.Random, tag: str, name: str) -> str:
@@ -26,17 +34,17 @@ def _open(rng: random.Random, tag: str, name: str) -> str:
 
 
 class _Page:
-    def __init__(self, rng: random.Random):
-        self.rng, self.lines = rng, []
+    def __init__(self, rng: random.Random, unseen: bool | None):
+        self.rng, self.unseen, self.lines = rng, unseen, []
 
     def words(self, low: int, high: int) -> str:
         rng = self.rng
-        made = ["".join(rng.choices(SYLLABLES, k=rng.randint(1, 3))) for _ in range(rng.randint(low, high))]
+        made = ["".join(rng.choice(CONSONANTS) + rng.choice(VOWELS) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(low, high))]
         return " ".join(w + rng.choice(["", "", "", "", ",", "."]) for w in made).capitalize() + rng.choice([".", ".", ".", ""])
 
     def chrome(self, kind: str) -> str:
         rng = self.rng
-        tag, name = rng.choice(CHROME[kind])
+        tag, name = rng.choice(_held(CHROME[kind], self.unseen))
         if kind == "menu" or (kind in ("header", "footer", "side") and rng.random() < 0.5):
             inner = "".join(f'<li><a href="/{i}">{self.words(1, 3)}</a></li>' for i in range(rng.randint(2, 8)))
             inner = inner if tag in ("ul", "ol") else f"<ul>{inner}</ul>"
@@ -66,7 +74,7 @@ class _Page:
 
     def article(self) -> str:
         rng = self.rng
-        tag, name = rng.choice(MAIN)
+        tag, name = rng.choice(_held(MAIN, self.unseen))
         parts = []
         if rng.random() < 0.8:
             title = self.words(2, 12)
@@ -82,17 +90,17 @@ class _Page:
         return rng.choice([made, made, f"<main>{made}</main>", f'<div class="wrap"><div>{made}</div></div>'])
 
 
-def labelled_page(seed: int) -> tuple[str, str]:
-    """(html, main text) of one made page."""
+def labelled_page(seed: int, unseen: bool | None = None) -> tuple[str, str]:
+    """(html, main text) of one made page, of any layout, or of an unseen or seen one."""
     rng = random.Random(seed)
-    page = _Page(rng)
+    page = _Page(rng, unseen)
     before = [page.chrome(k) for k in rng.sample(["menu", "header", "notice", "advert", "side", "form"], rng.randint(0, 4))]
     main = page.article()
     after = [page.chrome(k) for k in rng.sample(["footer", "side", "comments", "advert", "notice", "menu", "form"], rng.randint(0, 5))]
-    head = f"<head><title>{page.words(2, 8)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>"
+    head = f'<head><meta charset="utf-8"><title>{page.words(2, 8)}</title><meta name="viewport" content="width=device-width"><link rel="stylesheet" href="/s.css"></head>'
     body = f"<body>{''.join(before)}<!-- {page.words(1, 4)} -->{main}{''.join(after)}</body>"
     return f"<!DOCTYPE html><html>{head}{body}</html>", "\n".join(page.lines)
 
 
-def labelled_pages(n: int, first_seed: int = 0) -> list[tuple[str, str]]:
-    return [labelled_page(first_seed + i) for i in range(n)]
+def labelled_pages(n: int, first_seed: int = 0, unseen: bool | None = None) -> list[tuple[str, str]]:
+    return [labelled_page(first_seed + i, unseen) for i in range(n)]

@@ -120,13 +120,35 @@ def test_links_against_brute_force(spark):
         nd.BLOCK = old
 
 
+def line_f1(found, pages):
+    hits = sum(len(set(a.split("\n")) & set(b.split("\n"))) for a, (_, b) in zip(found, pages, strict=True))
+    return 2 * hits / sum(len(set(a.split("\n"))) + len(set(b.split("\n"))) for a, (_, b) in zip(found, pages, strict=True))
+
+
 def test_extractor_on_held_out_pages():
-    model = html_extract.default_model()
     pages = labelled_pages(150, first_seed=50_000)
-    found = html_extract.main_texts([h for h, _ in pages], model)
-    hits = sum(len(set(a.split("\n")) & set(b.split("\n"))) for a, (_, b) in zip(found, pages, strict=True))
-    total = sum(len(set(a.split("\n"))) + len(set(b.split("\n"))) for a, (_, b) in zip(found, pages, strict=True))
-    assert 2 * hits / total > 0.93
+    assert line_f1(html_extract.main_texts([h for h, _ in pages], html_extract.default_model()), pages) > 0.93
+
+
+def test_extractor_on_layouts_that_training_lacks():
+    """Element and class names of all parts of the page are others than in training."""
+    model = html_extract.train(labelled_pages(300, unseen=False))
+    pages = labelled_pages(150, first_seed=50_000, unseen=True)
+    f1 = line_f1(html_extract.main_texts([h for h, _ in pages], model), pages)
+    everything = ["\n".join(t for _, t in html_extract.Page(h).segments) for h, _ in pages]
+    assert f1 > 0.85 and f1 > line_f1(everything, pages) + 0.1, f1
+
+
+@pytest.mark.parametrize("bad", ["<p ", '<a ">" ', "<b>x", "<div>", "<!-- ", "</div>", "<p '", "&amp", "<i><div>" + "<b>" * 50 + "</i>" * 50, "< ", "<li>", '<a href="x>'])
+def test_malformed_pages_take_linear_time(bad):
+    import time
+
+    took = []
+    for size in (1 << 17, 1 << 20):
+        began = time.process_time()
+        html_extract.main_texts([bad * (size // len(bad))], html_extract.default_model())
+        took.append(time.process_time() - began)
+    assert took[1] < 25 and took[1] < 24 * max(took[0], 0.1), took
 
 
 def test_messages_against_enumeration():
