@@ -2,9 +2,9 @@
 
 Each text's shingle set has a row of DEPTH hashes for each tree; a tree is the trie of these rows, and a node of it the
 texts that share a prefix. Prefixes are as long as they are while their nodes are crowded: a node of CROWD texts or fewer
-is looked at with the shortest prefix at once, and a text's other prefixes are shortened hash by hash, those of the least
-crowded nodes first, until pairs of the threshold's similarity meet in one of its nodes with the target recall. Which
-prefix is shortened depends on how crowded its node is and hardly on any one partner, so the recall holds for each pair.
+is looked at with the shortest prefix at once, and a text asks for its other prefixes to be shortened hash by hash, those of
+the least crowded nodes first, until pairs of the threshold's similarity meet in one of its nodes with the target recall.
+What it asks for depends on how crowded its nodes are and hardly on any one partner, so the recall holds for each pair.
 
 Nodes give star edges only, never pairs; texts that stars connect are dealt to the same groups, and there every pair that
 shares a node is verified exactly by counting common shingles, and leaves as counts of links and a local root.
@@ -237,8 +237,9 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     texts = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("copy_id"), F.min("row").alias("cid"), F.max_by("size", "row").alias("size"))
     texts = saved(texts, "near-texts")
     nodes = saved(looked_at(rows, texts, threshold, recall), "near-nodes")
-    stars = saved(nodes.groupBy("node").agg(F.min("cid").alias("v"), F.count(F.lit(1)).alias("n")), "near-stars")
-    edges = lookup(nodes, stars, "node", "n", max(1, nodes.count())).select(F.col("cid").alias("u"), "v")
+    # A longer prefix may be one text's alone, so nodes are counted anew.
+    stars = saved(nodes.groupBy("node").agg(F.min("cid").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1"), "near-stars")
+    edges = lookup(nodes, stars, "node", "n", max(1, nodes.count())).where("v IS NOT NULL").select(F.col("cid").alias("u"), "v")
     groups = saved(connected(edges), "near-groups")
     found = saved(_compared(base, texts, rows, nodes, groups, threshold), "near-links")
     roots = connected(found.select(F.col("cid").alias("u"), F.col("root").alias("v")))
@@ -255,8 +256,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
 def looked_at(rows: DataFrame, texts: DataFrame, threshold: float, recall: float) -> DataFrame:
     """(cid, node) of the nodes of two texts or more that are looked at, each with all of its texts.
 
-    One row of a text stands for its copies. A text belongs to the node of each of its prefixes, whatever length it has
-    come to itself, so a node is looked at if one of its texts has come to it.
+    One row of a text stands for its copies. A crowded node's prefix is shortened as far as any of its texts asks for, and
+    for all of them: one row for each text and tree.
     """
     own = rows.join(texts.select(F.col("cid").alias("row")), "row", "left_semi").withColumnRenamed("row", "cid")
     short = own.select("cid", F.posexplode("nodes").alias("tree", "node"))
@@ -269,12 +270,10 @@ def looked_at(rows: DataFrame, texts: DataFrame, threshold: float, recall: float
     turns = turns.select("cid", F.size("turns").alias("crowded"), F.posexplode("turns").alias("at", "turn"))
     turns = turns.select("cid", F.col("turn.tree").alias("tree"), shortened(F.col("crowded"), F.col("at") + 1, threshold, recall).alias("length"))
     lists = own.select("cid", "nodes", "longer").join(turns, "cid")
-    every = F.concat(F.array("nodes"), F.col("longer"))
-    lists = saved(lists.select("cid", "length", F.transform(every, lambda x: F.get(x, F.col("tree"))).alias("prefixes")), "near-prefixes")
-    used = lists.select(F.get("prefixes", F.col("length") - SHORTEST).alias("node")).distinct()
-    members = lists.select("cid", F.explode("prefixes").alias("node"))
-    sizes = saved(members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(used, "node", "left_semi"), "near-used")
-    dense = lookup(members, sizes, "node", "n", max(1, members.count())).where("n IS NOT NULL").select("cid", "node")
+    prefixes = F.transform(F.concat(F.array("nodes"), F.col("longer")), lambda x: F.get(x, F.col("tree")))
+    lists = saved(lists.select("cid", F.get("nodes", F.col("tree")).alias("node"), "length", prefixes.alias("prefixes")), "near-prefixes")
+    lengths = saved(lists.groupBy("node").agg(F.min("length").alias("to"), F.count(F.lit(1)).alias("n")), "near-lengths")
+    dense = lookup(lists, lengths, "node", "n", max(1, lists.count())).select("cid", F.get("prefixes", F.col("to") - SHORTEST).alias("node"))
     return plain.unionByName(dense)
 
 
