@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 import zstandard
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from cairnflow.llm.common import arrow_map, broadcast_if_small, lookup, saved
+from cairnflow.llm.common import broadcast_if_small, lookup, parts, saved
 
 #: Fixed values of the seekable Zstandard format: magic numbers of the skippable frame and of the seek table's footer.
 SKIPPABLE, FOOTER = 0x184D2A5E, 0x8F92EAB1
@@ -148,7 +148,7 @@ def write_archive(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = BundleWriter()
-        for batch in batches:
+        for batch in parts(batches):
             for page_id, url, html, digest, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 writer.add(page_id, record(page_id, url, html.encode(), digest, first, first is not None))
                 if writer.size >= BUNDLE:
@@ -159,26 +159,36 @@ def write_archive(pages: DataFrame) -> DataFrame:
     return saved(rows.mapInArrow(run, BUNDLES), "warc-bundles")
 
 
-def read_archive(bundles: DataFrame, payloads: bool = False) -> DataFrame:
-    """The records of all bundles, frame by frame, payloads checked against their digests and returned if asked for."""
-
+def _records(placed: DataFrame, payloads: bool) -> DataFrame:
+    """The records at the places of `placed` (bundle, places): each frame that holds one is decompressed, once."""
     out = to_arrow_schema(StructType.fromDDL(RECORDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bundle in batch.column(0):
-                data = bundle.as_py()
-                table = seek_table(data)
-                for frame in range(len(table)):
-                    text, at, rows = read_frame(data, frame, table), 0, []
-                    while at < len(text):
-                        head, block, at = parse(text, at)
+        for batch in parts(batches):
+            for data, places in zip(batch.column(0), batch.column(1), strict=True):
+                data = data.as_py()
+                table, at = seek_table(data), sorted(places.as_py(), key=lambda p: (p["frame"], p["offset"]))
+                for frame, own in groupby(at, key=lambda p: p["frame"]):
+                    text, rows = read_frame(data, frame, table), []
+                    for place in own:
+                        head, block, end = parse(text, place["offset"])
                         rows.append(_record_row(head, block))
+                        if rows[-1]["page_id"] != place["page_id"] or end != place["offset"] + place["length"]:
+                            raise ValueError(f"the map's record {place['page_id']} is not at its place")
                         if not payloads:
                             rows[-1]["payload"] = None
                     yield pa.RecordBatch.from_pylist(rows, schema=out)
 
-    return bundles.select("bundle").mapInArrow(run, RECORDS)
+    return placed.mapInArrow(run, RECORDS)
+
+
+def read_archive(bundles: DataFrame, payloads: bool = False) -> DataFrame:
+    """All records of `bundles`, each from the frame and offset that the map has for it.
+
+    Payloads are checked against their digests, and returned if asked for; those of revisits are null. Null ids are null
+    again, null urls and payloads empty. Repeated ids give a record each, and no bundles give no records.
+    """
+    return _records(bundles.select("bundle", "places"), payloads)
 
 
 def archive_index(bundles: DataFrame) -> DataFrame:
@@ -187,23 +197,11 @@ def archive_index(bundles: DataFrame) -> DataFrame:
 
 
 def fetch(bundles: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The records of the page_ids in `wanted`: only the frames that hold them are decompressed."""
+    """The records of the page_ids in `wanted`, with payloads: only the frames that hold them are decompressed.
+
+    Ids that no record has give no rows, nor do null ids; a repeated wanted id counts once, and an id of two records gives
+    both.
+    """
     places = archive_index(bundles).join(wanted.select("page_id").distinct(), "page_id", "left_semi")
-    by_bundle = places.groupBy("bundle_id").agg(F.sort_array(F.collect_list(F.struct("frame", "offset", "length"))).alias("at"))
-    joined = bundles.select("bundle_id", "bundle").join(by_bundle, "bundle_id").select("bundle", "at")
-
-    def make():
-        def step(batch: pa.RecordBatch) -> dict[str, list]:
-            rows = []
-            for data, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                table, last, text = seek_table(data), -1, b""
-                for place in at:
-                    if place["frame"] != last:
-                        last, text = place["frame"], read_frame(data, place["frame"], table)
-                    head, block, _ = parse(text, place["offset"])
-                    rows.append(_record_row(head, block))
-            return {f: [r[f] for r in rows] for f in ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload")}
-
-        return step
-
-    return arrow_map(joined, make, RECORDS)
+    by_bundle = places.groupBy("bundle_id").agg(F.collect_list(F.struct("page_id", "frame", "offset", "length")).alias("at"))
+    return _records(bundles.select("bundle_id", "bundle").join(by_bundle, "bundle_id").select("bundle", "at"), True)
