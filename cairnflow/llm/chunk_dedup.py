@@ -85,7 +85,7 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     listed = saved(arrow_map(rows, recipes, f"row bigint, id {kind}, text_sha256 string, recipe binary"), "chunk-recipes")
     store = chunk_store(rows.select("row", "text"), key_bytes)
     doubtful = saved(store.groupBy("key").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key"), "chunk-doubtful")
-    lists = listed.withColumn("list", F.col("recipe")) if doubtful.isEmpty() else saved(_told_apart(rows, listed, store, doubtful, key_bytes), "chunk-lists")
+    lists = listed.withColumnRenamed("recipe", "list") if doubtful.isEmpty() else saved(_told_apart(rows, listed, store, doubtful, key_bytes), "chunk-lists")
     groups = lists.groupBy("list").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("id", "row")).alias("keep"))
     groups = saved(groups.select("list", "group_size", F.col("keep.id").alias("keep_id"), F.col("keep.row").alias("keep_row")), "chunk-groups")
     out = lookup(lists, groups, "list", "group_size", max(1, lists.count()))
@@ -110,5 +110,5 @@ def _told_apart(rows: DataFrame, listed: DataFrame, store: DataFrame, doubtful:
     found = places.join(keys, "key", "left_semi").join(clashes, ["key", "part"]).select("row", F.struct("at", "ordinal").alias("x"))
     marks = found.groupBy("row").agg(F.sort_array(F.collect_list("x")).alias("marks"))
     told = listed.join(marks, "row", "left")
-    suffix = F.coalesce(F.to_json("marks"), F.lit(""))
-    return told.select("row", "id", "text_sha256", F.concat("recipe", F.encode(suffix, "utf-8")).alias("list"))
+    marks = F.coalesce("marks", F.array().cast("array<struct<at:int,ordinal:int>>"))
+    return told.select("row", "id", "text_sha256", F.struct("recipe", marks.alias("marks")).alias("list"))
