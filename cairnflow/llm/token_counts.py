@@ -22,31 +22,30 @@ MEMO, CHARS = 200_000, 2_000_000
 
 
 class Counter:
-    """Counts tokens with the library for a file: tokenizers for .json, sentencepiece for .model.
+    """Counts tokens with the library for a file's content: tokenizers for .json, sentencepiece for .model.
 
     Byte-level BPE without a normaliser never merges across pre-tokens, so there the library encodes each distinct
     pre-token once per worker and the counts are summed; other files have whole texts encoded.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, content: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.memo: dict[str, int] = {}
         self.special = None
         if path.endswith(".model"):
             import sentencepiece
 
-            model = sentencepiece.SentencePieceProcessor(model_file=path)
+            model = sentencepiece.SentencePieceProcessor(model_proto=content)
             self.count_whole = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
             self.by_piece = False
             return
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+        tokenizer = Tokenizer.from_str(content.decode())
         tokenizer.no_padding()
         tokenizer.no_truncation()
         self.count_whole = lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        with open(path, encoding="utf-8") as f:
-            made = json.load(f)
+        made = json.loads(content)
         split, added = made.get("pre_tokenizer") or {}, made.get("added_tokens") or []
         plain = not any(x.get(k) for x in added for k in ("lstrip", "rstrip", "single_word"))
         self.by_piece = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not made.get("normalizer") and plain
@@ -88,16 +87,10 @@ class Counter:
 _COUNTERS: dict[str, Counter] = {}  # a worker keeps its tokenizers between tasks
 
 
-def counter(path: str) -> Counter:
-    if path not in _COUNTERS:
-        _COUNTERS[path] = Counter(path)
-    return _COUNTERS[path]
-
-
-def tokenizer_version(path: str) -> str:
-    """The digest of the tokenizer's file: another file, or another version of it, has counts of its own."""
-    with open(path, "rb") as f:
-        return hashlib.sha256(f.read()).hexdigest()
+def counter(path: str, version: str, content: bytes) -> Counter:
+    if version not in _COUNTERS:
+        _COUNTERS[version] = Counter(path, content)
+    return _COUNTERS[version]
 
 
 def open_cache(spark: SparkSession, path: str) -> DataFrame:
@@ -114,11 +107,13 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     Content is the UTF-8 text, null as empty, with no further normalisation: byte-level counts depend on every byte. Its
     SHA-256 and the tokenizer file's digest are the key. Of the rows of an uncached text only the one with the smallest
     id is encoded (rows that share that id as well are all encoded and stored once). `cache_path` None: a fresh cache in
-    the scratch folder. Repeated rows and null ids give a row each; other columns are not read. The tokenizer's file must
-    be at `tokenizer_path` on each executor.
+    the scratch folder. Repeated rows and null ids give a row each; other columns are not read. The tokenizer's file is
+    read by the driver alone: what tasks count with is what the key says.
     """
     spark = docs.sparkSession
-    version = tokenizer_version(tokenizer_path)
+    with open(tokenizer_path, "rb") as f:
+        content = f.read()
+    version = hashlib.sha256(content).hexdigest()  # another file, or another version of it, has counts of its own
     cache_path = cache_path or scratch_path(spark, "token-cache")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
@@ -127,13 +122,13 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     groups = keys.groupBy("digest").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("first"))
     groups = saved(groups.join(stored.distinct(), "digest", "left"), "token-groups")
     total = max(1, keys.count())
-    _append_misses(rows, keys, groups, total, tokenizer_path, version, cache_path)
+    _append_misses(rows, keys, groups, total, tokenizer_path, content, version, cache_path)
     counts = open_cache(spark, cache_path).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     table = saved(groups.select("digest", "rows").join(counts, "digest"), "token-table")
     return lookup(keys, table, "digest", "rows", total).select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
 
 
-def _append_misses(rows: DataFrame, keys: DataFrame, groups: DataFrame, total: int, tokenizer_path: str, version: str, cache_path: str) -> None:
+def _append_misses(rows: DataFrame, keys: DataFrame, groups: DataFrame, total: int, tokenizer_path: str, content: bytes, version: str, cache_path: str) -> None:
     """Encodes the texts that are not stored: a row is left out if its text is stored or another row of it is encoded.
 
     The rows left out are few as a rule; their (id, digest) are broadcast if counted few, so texts needn't be shuffled.
@@ -142,9 +137,13 @@ def _append_misses(rows: DataFrame, keys: DataFrame, groups: DataFrame, total: i
     skip = saved(skip.where("rows IS NOT NULL AND (coalesce(known, false) OR NOT id <=> first)").select(F.col("id").alias("skip_id"), F.col("digest").alias("skip_digest")).distinct(), "token-skip")
     todo = rows.join(broadcast_if_small(skip), rows["id"].eqNullSafe(skip["skip_id"]) & (rows["digest"] == skip["skip_digest"]), "left_anti")
 
+    shared = rows.sparkSession.sparkContext.broadcast(content)  # some MB, as the file has
+
     def make():
+        counts = counter(tokenizer_path, version, shared.value).counts
+
         def step(batch: pa.RecordBatch) -> dict[str, list]:
-            return {"digest": batch.column(0), "tokenizer": [version] * batch.num_rows, "n_tokens": counter(tokenizer_path).counts(batch.column(1).to_pylist())}
+            return {"digest": batch.column(0), "tokenizer": [version] * batch.num_rows, "n_tokens": counts(batch.column(1).to_pylist())}
 
         return step
 
