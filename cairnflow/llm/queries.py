@@ -142,7 +142,7 @@ ORACLES: dict[str, str] = {
         held AS (SELECT llr FROM scores JOIN docs USING (r) JOIN trusted USING (doc_id) WHERE held AND n_grams >= 20),
         cut AS (
             SELECT CASE WHEN count(*) < 8 THEN '-inf'::DOUBLE
-                   ELSE round((quantile_cont(llr, 0.01) - 0.5::DOUBLE * (quantile_cont(llr, 0.75) - quantile_cont(llr, 0.25))) * 1000000) / 1000000 END AS threshold FROM held),
+                   ELSE floor((quantile_cont(llr, 0.01) - 0.5::DOUBLE * (quantile_cont(llr, 0.75) - quantile_cont(llr, 0.25))) * 1000000) / 1000000 END AS threshold FROM held),
         lines AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
 ]')) AS l FROM docs),
         starts AS (SELECT r, list_transform(range(len(words) - 4), lambda i: hash(words[i + 1 : i + 5])) AS own FROM docs WHERE len(words) >= 5),
