@@ -207,6 +207,11 @@ class LineIndex:
         filters = saved(self.live().select("key").withColumn("shard", _shard(shards)).groupBy("shard").applyInArrow(build, FILTERS), "line-filters")
         return LineIndex(self.postings, self.counts, filters, shards, self.keys, self.version)
 
+    def compacted(self) -> LineIndex:
+        """The same index with its postings and newest counts written as one table each, for when many changes have gathered."""
+        counts = saved(self.live().withColumn("version", F.lit(self.version)), "line-counts")
+        return LineIndex(saved(self.postings, "line-postings"), counts, self.filters, self.shards, self.keys, self.version)
+
     def _asked(self, keys: DataFrame) -> DataFrame:
         """Those of `keys` that their shard's filter lets through. A shard is one group of 2 * SHARD_KEYS keys at most."""
 

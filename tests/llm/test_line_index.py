@@ -36,6 +36,8 @@ def test_removal_undoes_insertion(spark):
     seen = {bytes(r.key) for r in again._asked(both.live().select("key")).collect()}
     assert set(counts(first)) <= seen and len(asked - seen) > 25
     assert counts(again.insert(postings(b))) == counts(both)
+    small = again.compacted()
+    assert counts(small) == counts(first) and counts(small.insert(postings(b))) == counts(both)
     fine = both.resharded(5)
     assert fine.filters.count() == 5 and {bytes(r.key) for r in fine._asked(both.live().select("key")).collect()} == asked
     assert counts(fine.remove(b.selectExpr("doc_id doc"))) == counts(first)
