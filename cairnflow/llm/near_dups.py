@@ -99,11 +99,11 @@ def node_keys(low: np.ndarray) -> np.ndarray:
     return np.stack(out[SHORTEST - 1 :], 1).view(np.int64)
 
 
-def _smallest(edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(the edges (u, v) from both ends, saved (u, m, n): each node's smallest neighbour or itself and its degree, rows)."""
+def _smallest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the edges (u, v) from both ends, saved (u, m, n): each node's smallest neighbour or itself, and its degree)."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = saved(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "near-low")
-    return both, low, max(1, 2 * edges.count())
+    return both, low
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -114,18 +114,19 @@ def connected(edges: DataFrame) -> DataFrame:
     have most of the edges, so joins on it are lookups.
     """
     ordered = lambda df: df.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    count = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     edges = saved(ordered(edges), "near-edges")
-    state = None
+    state = count(edges)
     while True:
-        both, low, total = _smallest(edges)
-        large = saved(lookup(both, low, "u", "n", total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "near-large")
+        both, low = _smallest(edges)
+        large = saved(lookup(both, low, "u", "n", max(1, 2 * state[0])).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "near-large")
         # Every edge leads to a smaller node now, so a node's neighbours here are those below it: few, whatever the star.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         new = saved(ordered(small), "near-edges")
         forget(edges, low, large)
         edges = new
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = count(edges)
         if now == state:
             roots = edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
             return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
