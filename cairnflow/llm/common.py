@@ -73,9 +73,12 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
 def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """`rows` left-joined to `table` (one row per `key`) where a few keys may hold most rows.
 
-    `weight` counts the rows of a key and `total` counts all rows, so no more than HOT_KEYS keys can be hot; those are
-    broadcast, and the rows of all other keys are shuffled. Both inputs should be saved tables. Keys are not null.
+    A table of BROADCAST_BYTES at most is broadcast. Beyond that, `weight` counts the rows of a key and `total` counts all
+    rows, so no more than HOT_KEYS keys can be hot; those are broadcast, and the rows of all other keys are shuffled. Both
+    inputs should be saved tables. Keys are not null.
     """
+    if value_bytes(table) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(table), key, "left")
     hot = F.broadcast(table.where(F.col(weight) * HOT_KEYS >= F.lit(total)))
     cold = table.where(F.col(weight) * HOT_KEYS < F.lit(total))
     first = rows.join(hot, key, "inner")

@@ -260,7 +260,7 @@ def looked_at(rows: DataFrame, texts: DataFrame, threshold: float, recall: float
     One row of a text stands for its copies. A crowded node's prefix is shortened as far as any of its texts asks for, and
     for all of them: one row for each text and tree.
     """
-    own = rows.join(texts.select(F.col("cid").alias("row")), "row", "left_semi").withColumnRenamed("row", "cid")
+    own = rows.join(broadcast_if_small(texts.select(F.col("cid").alias("row"))), "row", "left_semi").withColumnRenamed("row", "cid")
     short = own.select("cid", F.posexplode("nodes").alias("tree", "node"))
     shared = saved(short.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-shared")
     placed = saved(lookup(short, shared, "node", "n", max(1, short.count())).where("n IS NOT NULL"), "near-placed")

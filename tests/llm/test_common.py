@@ -32,7 +32,9 @@ def test_broadcasts_are_bounded_by_bytes(spark):
     assert hinted(200) and not hinted(100)
 
 
-def test_lookup_keeps_all_rows_of_hot_and_cold_keys(spark):
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_lookup_keeps_all_rows_of_hot_and_cold_keys(spark, monkeypatch, limit):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
     rows = common.saved(spark.range(20_000).select(F.when(F.col("id") < 15_000, -1).otherwise(F.col("id")).alias("k"), "id"), "rows")
     table = common.saved(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top")).where("k <> 19999"), "table")
     found = common.lookup(rows, table, "k", "n", 20_000)
