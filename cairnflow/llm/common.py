@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: White space that separates words, as listed by the contracts: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 #: A side of a join is broadcast up to so many bytes of its values; beyond, Spark shuffles it.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 32 << 20
 #: A key is hot from this part of all rows on, so there are at most so many hot keys, whatever the data.
 HOT_KEYS = 4096
 #: An Arrow batch has a fixed number of rows, whatever their size; a step gets parts of about so many bytes.

@@ -176,6 +176,8 @@ def _verified(threshold: float):
 
     def verify(table: pa.Table) -> pa.Table:
         table = table.sort_by("cid")
+        ids = table.column("cid").to_numpy()
+        table = table.filter(pa.array(np.append(True, ids[1:] != ids[:-1])))  # rows equal in id and text
         cid, copies = table.column("cid").to_numpy(), table.column("copies").to_numpy()
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
         nodes = [set(x) for x in table.column("nodes").to_pylist()]
@@ -308,10 +310,10 @@ def _compared(base: DataFrame, texts: DataFrame, rows: DataFrame, nodes: DataFra
     def sets():
         return lambda batch: {"cid": batch.column(0), "shingles": [shingles(t).tobytes() for t in batch.column(1).to_pylist()]}
 
-    have = arrow_map(read, sets, "cid bigint, shingles binary").dropDuplicates(["cid"])  # rows equal in id and text
+    have = arrow_map(read, sets, "cid bigint, shingles binary")  # a row for each row that is equal in id and text
     units = F.when(F.col("blocks").isNotNull(), F.array(F.struct(F.lit(None).cast("bigint").alias("node"), F.col("blocks")))).otherwise(F.col("by_node"))
-    dealt = have.join(members, "cid").select("cid", "copies", "root", "nodes", "shingles", F.col("digest"), F.explode(units).alias("unit"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("unit.blocks").cast("long")).cast("int"))
+    dealt = have.join(broadcast_if_small(members.drop("digest")), "cid").select("cid", "copies", "root", "nodes", "shingles", F.explode(units).alias("unit"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("unit.blocks").cast("long")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("unit.blocks") - 1)))
     pair = F.xxhash64("root", "unit.node", F.least("block", "other"), F.greatest("block", "other"))
     packed = F.when(F.col("unit.node").isNull() & (F.col("unit.blocks") == 1), F.pmod(F.xxhash64("root"), F.lit(packs))).otherwise(pair)
