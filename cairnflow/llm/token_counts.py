@@ -17,6 +17,9 @@ from cairnflow.llm.common import arrow_map, broadcast_if_small, lookup, saved, s
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens bigint"
 #: Fixed value: the pre-token pattern of byte-level BPE, as the tokenizer library has it built in.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Blocks of characters that the library and `regex` class alike, whatever version of Unicode they know. A text
+#: with any other character is encoded by the library as a whole.
+ALIKE = "\\u0000-\\u024f\\u0300-\\u036f\\u0370-\\u03ff\\u0400-\\u04ff\\u1e00-\\u1eff\\u2000-\\u206f\\u20a0-\\u20bf\\u2190-\\u21ff\\u2500-\\u27bf\\u3000-\\u30ff\\u4e00-\\u9fa5\\uac00-\\ud7a3\\uff00-\\uffef\\U0001f300-\\U0001f64f"
 #: Distinct pre-tokens whose counts a worker remembers before it starts afresh, and characters counted at a time.
 MEMO, CHARS = 200_000, 2_000_000
 
@@ -49,7 +52,7 @@ class Counter:
         split, added = made.get("pre_tokenizer") or {}, made.get("added_tokens") or []
         plain = not any(x.get(k) for x in added for k in ("lstrip", "rstrip", "single_word"))
         self.by_piece = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not made.get("normalizer") and plain
-        self.split = regex.compile(BYTE_LEVEL)
+        self.split, self.other = regex.compile(BYTE_LEVEL), re.compile(f"[^{ALIKE}]")
         if added:
             self.special = re.compile("|".join(re.escape(x["content"]) for x in sorted(added, key=lambda x: -len(x["content"]))))
 
@@ -67,7 +70,9 @@ class Counter:
         out, waiting, chars = [], [], 0
         for text in texts:
             found = 0
-            if self.special and self.special.search(text):
+            if not text.isascii() and self.other.search(text):
+                found, pieces = self.count_whole([text])[0], []
+            elif self.special and self.special.search(text):
                 found = len(self.special.findall(text))
                 pieces = [p for part in self.special.split(text) for p in self.split.findall(part)]
             else:
