@@ -7,18 +7,18 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnflow.llm.common import saved
+from cairnflow.llm.common import BROADCAST_BYTES, broadcast_if_small, saved, value_bytes
 
 GAP, SYMBOL = r"[\x20\x09-\x0D]+", "[#*$%&|<>]"
 #: n-grams of one and two words are hashed into so many buckets: the size of the broadcast weights, whatever the data.
 BUCKETS = 1 << 16
-#: Labelled rows that stand for the trusted target, at most; 4 of 5 are counted, the others set the threshold.
-TRUSTED = 50_000
 #: Weights are whole millionths, so that sums don't depend on the order of addition.
 UNIT = 1_000_000
 WINDOW = 5
 #: Pseudo-counts of the trusted model as a share of its n-grams: no n-gram weighs less than ln(PRIOR / (1 + PRIOR)).
 PRIOR = 0.1
+#: Parts of a unit in the bins by which percentiles are found; mean weights lie between some -3 and 50.
+SCALES = (10**3, 10**6, 10**9)
 #: Held-back trusted rows without which their spread is not known, and n-grams that such a row has at least.
 MIN_HELD, MIN_GRAMS = 8, 20
 
@@ -71,21 +71,70 @@ def base_columns() -> dict[str, Column]:
     }
 
 
-def trusted_ids(labels: DataFrame, bound: int = TRUSTED) -> DataFrame:
-    """(trusted_id, held): up to `bound` ids of rows labelled good, by hash; every fifth is held back for the threshold."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """(trusted_id, held): the ids of all rows labelled good; every fifth, by hash, is held back for the threshold."""
     good = labels.where(F.col("quality") == 1).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("trusted_id")).distinct()
-    good = good.orderBy(F.crc32(F.col("trusted_id").cast("string").cast("binary")), "trusted_id").limit(bound)
     return good.withColumn("held", F.crc32(F.concat(F.lit("held "), F.col("trusted_id").cast("string")).cast("binary")) % 5 == 0)
 
 
+def with_trusted(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """`rows` (row, id and others) with trusted_id: the id if `ids` (distinct, of a saved table) has it, else null.
+
+    Up to BROADCAST_BYTES of ids are broadcast. Beyond, the rows are shuffled, those without an id by their number; Spark
+    splits the rows of a hot id.
+    """
+    if value_bytes(ids) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(ids), F.col("id") == F.col("trusted_id"), "left")
+    spread = F.when(F.col("id").isNull(), F.col("row")).otherwise(F.lit(0)).alias("spread")
+    ids = ids.withColumn("own_spread", F.lit(0).cast("long"))
+    return rows.select("*", spread).join(ids, (F.col("id") == F.col("trusted_id")) & (F.col("spread") == F.col("own_spread")), "left").drop("spread", "own_spread")
+
+
+def percentiles(values: DataFrame, shares: list[float]) -> tuple[int, list[float]]:
+    """(number of values, the exact percentiles), between two values by proportion, of `values` (saved, column llr).
+
+    The values at the ranks in question are found by histograms, each within the bins of the one before in which such a
+    rank lies, so neither a task nor the driver holds all values.
+    """
+    levels = [F.floor(F.col("llr") * scale).alias(f"bin{k}") for k, scale in enumerate(SCALES)] + [F.col("llr")]
+    inside = values.where("llr IS NOT NULL").select(*levels)
+    names, n, at = inside.columns, 0, {}
+    for k in range(len(names)):
+        found = sorted(tuple(r) for r in inside.groupBy(*names[: k + 1]).agg(F.count(F.lit(1)).alias("n")).collect())
+        if k == 0:
+            n = sum(r[-1] for r in found)
+            if not n:
+                return 0, []
+            places = [share * (n - 1) for share in shares]
+            at = {(): (0, {f(p) for p in places for f in (math.floor, math.ceil)})}  # rows before each bin; the ranks in it
+        wanted: dict[tuple, tuple[int, set[int]]] = {}
+        before: dict[tuple, int] = {}
+        for *key, count in found:
+            above = tuple(key[:-1])
+            if above not in at:
+                continue
+            start = before.get(above, at[above][0])
+            own = {rank for rank in at[above][1] if start <= rank < start + count}
+            if own:
+                wanted[tuple(key)] = start, own
+            before[above] = start + count
+        at = wanted
+        inside = inside.where(F.col(names[k]).isin([key[-1] for key in at]))
+    value = {rank: key[-1] for key, (_, ranks) in at.items() for rank in ranks}
+    out = []
+    for p in places:
+        low, high = value[math.floor(p)], value[math.ceil(p)]
+        out.append(low if low == high else (math.ceil(p) - p) * low + (p - math.floor(p)) * high)
+    return n, out
+
+
 def llr_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(bucket, weight): ln of the bucket's probability under the trusted rows over that under all rows, in UNITs.
 
     One row for each of the BUCKETS buckets. The trusted multinomial is smoothed by pseudo-counts in proportion to all
     rows, PRIOR times as many as there are trusted n-grams, so weights have the same range at every size.
     """
-    known = F.broadcast(trusted.where(~F.col("held")).select("trusted_id"))  # TRUSTED rows at most
-    words = with_words(docs, id_col, text_col).join(known, F.col("id") == F.col("trusted_id"), "left")
+    words = with_trusted(with_words(docs, id_col, text_col), trusted.where(~F.col("held")).select("trusted_id"))
     words = words.select(F.col("trusted_id").isNotNull().cast("long").alias("good"), gram_buckets().alias("buckets"))
     # explode_outer: explode would have a filter on the array pushed down, and the array made again for it.
     counts = words.select("good", F.explode_outer("buckets").alias("bucket"))
@@ -115,10 +164,10 @@ def llr_threshold(docs: DataFrame, weights: DataFrame, trusted: DataFrame, sprea
     Whole UNITs, rounded down; rows at the threshold stay. With fewer than MIN_HELD rows of MIN_GRAMS n-grams there is no
     estimate of either, and no row fails.
     """
-    held = F.broadcast(trusted.where("held").select("trusted_id"))
+    held = broadcast_if_small(trusted.where("held").select("trusted_id"))
     own = docs.join(held, F.col(id_col) == F.col("trusted_id"), "left_semi")
-    scores = gram_scores(own, weights, {}, id_col, text_col).where(F.col("n_grams") >= MIN_GRAMS)
-    n, at = scores.agg(F.count("llr"), F.expr("percentile(llr, array(0.01, 0.25, 0.75))")).first()
+    scores = saved(gram_scores(own, weights, {}, id_col, text_col).where(F.col("n_grams") >= MIN_GRAMS).select("llr"), "llr-held")
+    n, at = percentiles(scores, [0.01, 0.25, 0.75])
     return float("-inf") if n < MIN_HELD else math.floor((at[0] - spreads * (at[2] - at[1])) * UNIT) / UNIT
 
 
@@ -129,8 +178,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, min_words: int = 10, max_r
     with `digest` the SHA-256 of the text (null: the empty text), which tells rows of one id apart. A row
     fails the base rules with fewer than `min_words` words or more than `max_repeat_percent` % of its words in repeated
     windows. Else it is kept if the mean weight of its hashed n-grams reaches the threshold, which is `spreads`
-    interquartile ranges below the lowest percent of trusted rows that were not counted. Counts cover all rows; the
-    trusted rows are a sample of TRUSTED labelled ones at most. With fewer than MIN_HELD rows to set the threshold by, no
+    interquartile ranges below the lowest percent of trusted rows that were not counted. Counts cover all rows, and
+    all rows labelled good are trusted. With fewer than MIN_HELD rows to set the threshold by, no
     row fails the second test.
 
     Null texts have no words and fail. Repeated rows and null ids give a row each; null labels are no trusted rows; other
