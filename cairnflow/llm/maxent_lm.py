@@ -36,8 +36,8 @@ BATCH, LEAVES, BLOCK_ROWS = 4096, 32, 256
 LEAST_ROWS, TABLE_BYTES = ((16_384, 16_384, 8_192), (65_536, 65_536, 65_536), (32_768, 32_768)), (16 << 20, 32 << 20, 16 << 20)
 #: Tokens of a training task at most, and those from which on tables and rounds grow.
 TASK_TOKENS, GROWN = 4_000_000, 1 << 24
-#: Bytes of text whose words are counted together, and that the model reads together; tasks whose changes are averaged first.
-COUNT_BYTES, LM_BYTES, TOGETHER = 4 << 20, 1 << 20, 16
+#: Bytes of text whose words are counted together, and that the model reads together.
+COUNT_BYTES, LM_BYTES = 4 << 20, 1 << 20
 PSEUDO = 0.1
 
 
@@ -65,7 +65,7 @@ class Size:
 
     Half of the classes are the head's, in which every slot is a word, by frequency; the others are the tail's. side grows
     with the fourth root of the tokens, so the head and the tail's slots with the square root, as do the weight rows up to
-    TABLE_BYTES. Few tokens are gone over twice.
+    TABLE_BYTES. Each token is gone over once, however many there are.
     """
 
     def __init__(self, tokens: int = 0, words: int = HOT, side: int = 0):
@@ -80,7 +80,6 @@ class Size:
             self.rows.append(tuple(BLOCK_ROWS * max(1, int(n * scale) // BLOCK_ROWS) for n in least))
         self.batch = int(min(BATCH, max(256, tokens // 64)))
         self.rounds = 2 + int(np.log2(max(1.0, tokens / GROWN)))
-        self.passes = min(2, max(1, GROWN // 4 // max(1, tokens)))
         self.tasks = max(1, -(-tokens // self.rounds // TASK_TOKENS))
         # The more uses a row has, the more histories share it, and the smaller its steps.
         self.rates = [min(1.5, 3.0 / max(1.0, tokens / max(1, min(words, *own))) ** 0.5) for own in self.rows]
@@ -301,57 +300,52 @@ def _train(vocabulary: Vocabulary, start: list[np.ndarray], batches: Iterator[pa
 
 
 #: change: half-precision floats, the change of each weight; uses: single-precision floats, one for each row.
-CHANGES = "piece int, salt int, change binary, uses binary"
+CHANGES = "piece int, change binary, uses binary"
 
 
-def _summed(changes: DataFrame, *by: str) -> DataFrame:
+def _summed(changes: DataFrame) -> DataFrame:
     """The changes of each piece, averaged by uses, as they stream in; a task holds its own pieces' sums only."""
     out = to_arrow_schema(StructType.fromDDL(CHANGES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list] = {}
         for batch in batches:
-            for piece, _, change, uses in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for piece, change, uses in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n = np.frombuffer(uses, np.float32)
                 x = [np.frombuffer(change, np.float16).astype(np.float32).reshape(len(n), -1) * n[:, None], n]
                 sums[piece] = [a + b for a, b in zip(sums[piece], x, strict=True)] if piece in sums else x
         for piece, (change, n) in sums.items():
             mean = (change / np.maximum(n, 1)[:, None]).astype(np.float16)
-            yield pa.RecordBatch.from_pydict({"piece": [piece], "salt": [0], "change": [mean.tobytes()], "uses": [n.tobytes()]}, schema=out)
+            yield pa.RecordBatch.from_pydict({"piece": [piece], "change": [mean.tobytes()], "uses": [n.tobytes()]}, schema=out)
 
-    return changes.repartition(*by).mapInArrow(run, CHANGES)
+    return changes.repartition("piece").mapInArrow(run, CHANGES)
 
 
 def train(texts: DataFrame, vocabulary: Vocabulary) -> Weights:
-    """Weights after the rounds of the model's size; each row of `texts` (columns part, text) is used once a pass.
+    """Weights after the rounds of the model's size; each row of `texts` (columns part, text) is used once.
 
     A round's tasks start from the same weights; each sends, for pieces of BLOCK_ROWS rows, its changes and their uses.
-    Means over many tasks are made in two steps and the model, whose tables are bounded, is all that the driver receives.
+    A table has hundreds of pieces, which share the means' work among tasks; the model, whose tables are bounded, is all that the driver receives.
     """
     spark, size = texts.sparkSession, vocabulary.size
     weights, words = Weights(size), spark.sparkContext.broadcast(vocabulary)
     out = to_arrow_schema(StructType.fromDDL(CHANGES))
     where = [(t, k) for t in weights.tables for k in range(0, len(t), BLOCK_ROWS)]
-    for r in range(size.rounds * size.passes):
+    for r in range(size.rounds):
         shared = spark.sparkContext.broadcast(weights.sent())
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, r=r) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            salt = TaskContext.get().partitionId() // TOGETHER
             piece = 0
             for (table, uses), start in zip(_train(words.value, shared.value, batches, r), shared.value, strict=True):
                 for k in range(0, len(uses), BLOCK_ROWS):
                     n = uses[k : k + BLOCK_ROWS]
                     if n.any():
                         change = table[k : k + BLOCK_ROWS] - start[k : k + BLOCK_ROWS]
-                        yield pa.RecordBatch.from_pydict({"piece": [piece], "salt": [salt], "change": [change.astype(np.float16).tobytes()], "uses": [n.tobytes()]}, schema=out)
+                        yield pa.RecordBatch.from_pydict({"piece": [piece], "change": [change.astype(np.float16).tobytes()], "uses": [n.tobytes()]}, schema=out)
                     piece += 1
 
-        changes = texts.where(F.col("part") == r % size.rounds).select("text").coalesce(size.tasks).mapInArrow(run, CHANGES)
-        if size.tasks > TOGETHER:
-            changes = _summed(changes, "piece", "salt")
-        merged = saved(_summed(changes, "piece"), "lm-changes")
+        changes = texts.where(F.col("part") == r).select("text").coalesce(size.tasks).mapInArrow(run, CHANGES)
+        merged = saved(_summed(changes), "lm-changes")
         for row in merged.toLocalIterator():
             t, k = where[row.piece]
             t[k : k + BLOCK_ROWS] += np.frombuffer(row.change, np.float16).reshape(-1, t.shape[1])

@@ -26,3 +26,11 @@ def test_history_tells_words_of_one_prefix_apart(spark):
     held = [r for r in maxent_lm.lm_scores(docs).collect() if r.held_out]
     gain = sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held)
     assert gain > 1, gain
+
+
+def test_training_rows_are_used_once_in_few_tokens_too(spark, monkeypatch):
+    tables, saved = [], maxent_lm.saved
+    monkeypatch.setattr(maxent_lm, "saved", lambda df, name: (tables.append(name), saved(df, name))[1])
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} w{i % 3}") for i in range(90)], "doc_id bigint, text string")
+    maxent_lm.lm_scores(docs).collect()
+    assert tables.count("lm-changes") == maxent_lm.Size(4 * 90).rounds
