@@ -268,11 +268,13 @@ def looked_at(rows: DataFrame, texts: DataFrame, threshold: float, recall: float
     placed = saved(lookup(short, shared, "node", "n", max(1, short.count())).where("n IS NOT NULL"), "near-placed")
     crowded = placed.where(F.col("n") > CROWD)
     plain = placed.where(F.col("n") <= CROWD).select("cid", "node")
-    # At most TREES rows a text: its crowded nodes in order, and the length that its prefix comes to in each.
+    # At most TREES trees a text: those of its crowded nodes in order. Few texts have any, so all texts' hashes stay where they are.
     turns = crowded.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("n", "tree"))).alias("turns"))
-    turns = turns.select("cid", F.size("turns").alias("crowded"), F.posexplode("turns").alias("at", "turn"))
-    turns = turns.select("cid", F.col("turn.tree").alias("tree"), shortened(F.col("crowded"), F.col("at") + 1, threshold, recall).alias("length"))
+    turns = broadcast_if_small(saved(turns.select("cid", F.col("turns.tree").alias("trees")), "near-turns"))
     lists = own.select("cid", "nodes", "longer").join(turns, "cid")
+    lists = lists.select("cid", "nodes", "longer", F.size("trees").alias("crowded"), F.posexplode("trees").alias("at", "tree"))
+    # The length that the text's prefix comes to in each.
+    lists = lists.withColumn("length", shortened(F.col("crowded"), F.col("at") + 1, threshold, recall))
     prefixes = F.transform(F.concat(F.array("nodes"), F.col("longer")), lambda x: F.get(x, F.col("tree")))
     lists = saved(lists.select("cid", F.get("nodes", F.col("tree")).alias("node"), "length", prefixes.alias("prefixes")), "near-prefixes")
     lengths = saved(lists.groupBy("node").agg(F.min("length").alias("to"), F.count(F.lit(1)).alias("n")), "near-lengths")
@@ -289,7 +291,8 @@ def _compared(base: DataFrame, texts: DataFrame, rows: DataFrame, nodes: DataFra
     pairs, those that share a node. Only texts with candidates are read again for their shingles.
     """
     lists = nodes.groupBy("cid").agg(F.collect_set("node").alias("nodes"))
-    members = groups.join(texts.select(F.col("cid").alias("node"), "digest", "copies", "size"), "node").withColumnRenamed("node", "cid").join(lists, "cid")
+    grouped = broadcast_if_small(groups.withColumnRenamed("node", "cid"))
+    members = texts.select("cid", "digest", "copies", "size").join(grouped, "cid").join(lists, "cid")
     members = saved(members.select("cid", "digest", "copies", "size", "root", "nodes"), "near-members")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
     whole = saved(members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"), blocks.alias("blocks")), "near-whole")
@@ -303,7 +306,7 @@ def _compared(base: DataFrame, texts: DataFrame, rows: DataFrame, nodes: DataFra
     members = lookup(members, whole.select("root", "n", "blocks"), "root", "n", max(1, members.count()))
     members = members.join(apart, "root", "left").select("cid", "digest", "copies", "root", "nodes", F.when(F.col("node_blocks").isNull(), F.col("blocks")).alias("blocks"), F.expr("transform(nodes, x -> struct(x AS node, node_blocks[x] AS blocks))").alias("by_node"))
     members = saved(members.select("cid", "digest", "copies", "root", "nodes", "blocks", F.when(F.col("blocks").isNull(), F.col("by_node")).alias("by_node")), "near-dealt")
-    wanted = rows.select(F.col("row").alias("cid"), "id").join(members.select("cid", "digest"), "cid").select(F.col("id").alias("want_id"), F.col("digest").alias("want_digest"), "cid")
+    wanted = rows.select(F.col("row").alias("cid"), "id").join(broadcast_if_small(members.select("cid", "digest")), "cid").select(F.col("id").alias("want_id"), F.col("digest").alias("want_digest"), "cid")
     wanted = broadcast_if_small(saved(wanted, "near-wanted"))
     read = base.join(wanted, F.col("id").eqNullSafe(F.col("want_id")) & (F.col("digest") == F.col("want_digest"))).select("cid", "text")
 

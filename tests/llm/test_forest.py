@@ -72,3 +72,22 @@ def test_links_and_classes_against_brute_force(spark, monkeypatch, block, crowd,
         assert got[i].n_links == sum(j != i and (same(i, j) or near(i, j)) for j in range(n)), i
         assert got[i].copy_id == min(j for j in range(n) if same(i, j)) and got[i].class_id == root[i]
         assert got[i].n_text_links == len({texts[j] for j in range(n) if near(i, j)})
+
+
+def test_hashes_of_all_texts_are_not_shuffled_for_those_in_crowded_nodes(spark, monkeypatch):
+    plans, saved = {}, nd.saved
+
+    def seen(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return saved(df, name)
+
+    monkeypatch.setattr(nd, "saved", seen)
+    monkeypatch.setattr(nd, "CROWD", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame(list(enumerate(made(random.Random(8)))), "doc_id bigint, text string")
+        assert max(r.n_text_links for r in nd.jaccard_join(docs).collect()) > 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plans["near-prefixes"] and "SortMergeJoin" not in plans["near-prefixes"]
+    assert "hashpartitioning" not in plans["near-prefixes"]
